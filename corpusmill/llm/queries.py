@@ -9,7 +9,33 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import cutoff
+from . import clusters, cutoff
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with their cluster, named by its smallest id."""
+    return clusters.named(clusters.clusters(table(spark, sf_dir, "index_row"))).select("id", "group_id")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical chunks of each cluster."""
+    return clusters.described(clusters.clusters(table(spark, sf_dir, "index_row")))
+
+
+def p4_varied_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied subset of 200 chunks."""
+    return clusters.varied(table(spark, sf_dir, "index_row"), 200)
+
+
+def p4_varied_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied exam of 50 questions, by the vectors of their chunks, with the outdated label kept for comparison."""
+    vectors = table(spark, sf_dir, "index_row").select(F.col("id").alias("source_chunk_id"), "vector").dropDuplicates(["source_chunk_id"])
+    q = table(spark, sf_dir, "mcq_question").filter(F.col("question").isNotNull() & F.col("source_chunk_id").isNotNull())
+    q = q.select("id", "source_chunk_id", "cluster_id").groupBy("id").agg(F.min(F.struct("source_chunk_id", "cluster_id")).alias("q"))
+    q = q.select("id", "q.source_chunk_id", "q.cluster_id")
+    chosen = clusters.varied(q.join(vectors, "source_chunk_id"), 50)
+    # at most 50 rows
+    return q.join(F.broadcast(chosen), "id").select("id", "source_chunk_id", "cluster_id", "group_no", "group_size")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +51,10 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
+    "p4_varied_chunks": p4_varied_chunks,
+    "p4_varied_questions": p4_varied_questions,
     "p8_found": p8_found,
     "p8_source_rates": p8_source_rates,
 }
