@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import clusters, cutoff
+from . import clusters, cutoff, neighbours
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,18 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(clusters.clusters(table(spark, sf_dir, "index_row")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of cosine at least 0.9, one among the ten most similar of the other."""
+    return neighbours.close_pairs(table(spark, sf_dir, "index_row"))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar chunks of every chunk whose number is divisible by 50, among all chunks."""
+    asked = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
+    near = neighbours.nearest(table(spark, sf_dir, "index_row"), queries=asked)
+    return near.select("id", "other", F.round("cos", 5).alias("cos"), "rank")
+
+
 def p4_varied_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A varied subset of 200 chunks."""
     return clusters.varied(table(spark, sf_dir, "index_row"), 200)
@@ -53,6 +65,8 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p4_varied_chunks": p4_varied_chunks,
     "p4_varied_questions": p4_varied_questions,
     "p8_found": p8_found,
