@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import clusters, cutoff, neighbours
+from . import clusters, cutoff, mixing, neighbours
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,24 @@ def p4_varied_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(F.broadcast(chosen), "id").select("id", "source_chunk_id", "cluster_id", "group_no", "group_size")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of source_target that cannot reach their target."""
+    sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents"))
+    return mixing.plan(sizes, table(spark, sf_dir, "source_target")).filter("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share, passes and records of each source in the mix."""
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as often as it is taken."""
+    docs = table(spark, sf_dir, "documents")
+    passes = mixing.plan(mixing.sizes_by_source(docs), table(spark, sf_dir, "source_target"))
+    return mixing.mixed(docs.select("doc_id", "source"), passes)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
     cut = cutoff.cut_texts(table(spark, sf_dir, "documents"))
@@ -69,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_neighbours": p3_neighbours,
     "p4_varied_chunks": p4_varied_chunks,
     "p4_varied_questions": p4_varied_questions,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_mix": p7_mix,
     "p8_found": p8_found,
     "p8_source_rates": p8_source_rates,
 }
