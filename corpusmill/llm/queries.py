@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import clusters, cutoff, mixing, neighbours
+from . import clusters, cutoff, mixing, neardup, neighbours
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,16 @@ def p4_varied_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(F.broadcast(chosen), "id").select("id", "source_chunk_id", "cluster_id", "group_no", "group_size")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions whose bags of words have similarity at least 0.75."""
+    return neardup.pairs(table(spark, sf_dir, "mcq_question"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and number of links of every question."""
+    return neardup.groups(table(spark, sf_dir, "mcq_question"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of source_target that cannot reach their target."""
     sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents"))
@@ -87,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_neighbours": p3_neighbours,
     "p4_varied_chunks": p4_varied_chunks,
     "p4_varied_questions": p4_varied_questions,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_mix": p7_mix,
