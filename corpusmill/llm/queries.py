@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import clusters, cutoff, mixing, neardup, neighbours
+from . import clusters, cutoff, leak, mixing, neardup, neighbours
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,17 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "mcq_question"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the held-out items they contain."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each leaked item occurs in, and its best alignment."""
+    found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("best_share"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of source_target that cannot reach their target."""
     sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents"))
@@ -99,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_varied_questions": p4_varied_questions,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_mix": p7_mix,
