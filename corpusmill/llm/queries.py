@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import table
 
-from . import clusters, cutoff, leak, mixing, neardup, neighbours
+from . import clusters, cutoff, leak, mixing, neardup, neighbours, pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,16 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(clusters.clusters(table(spark, sf_dir, "index_row")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers with their defect."""
+    return pairs.defects(table(spark, sf_dir, "question_result"), table(spark, sf_dir, "mcq_question"))
+
+
+def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each defect occurs."""
+    return p2_found(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("answers"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of cosine at least 0.9, one among the ten most similar of the other."""
     return neighbours.close_pairs(table(spark, sf_dir, "index_row"))
@@ -104,6 +114,8 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p2_found": p2_found,
+    "p2_defects": p2_defects,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p4_varied_chunks": p4_varied_chunks,
