@@ -15,6 +15,9 @@ replacement character or opening bracket that a limit left behind, and an unclos
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.runtime import written
 
 #: A final trigram is "almost never terminal" below this smoothed share of ends.
 MAX_END_SHARE = 0.02
@@ -32,23 +35,37 @@ BLANK_END = (
     r"​‌‍‎‏    ⁠　﻿­"
 )
 
-_SQL = r"""
+# The last element of a text: what follows its last code block, or the block itself.
+_BODY = r"""
 WITH body AS (
   SELECT {id} AS id, rtrim('{blank}', {text}) AS b FROM {{docs}}
-), canon AS (
-  SELECT id,
-         right(b, 16) RLIKE '{left}' AS left_behind,
-         ((length(b) - length(replace(b, '```', ''))) / 3) % 2 = 1 AS open_block,
-         split(regexp_replace(lower(CASE WHEN contains(b, '```') THEN regexp_replace(b, '(?s)```.*?(```|$)', '\n⟦\n') ELSE b END),
-                              '[0-9]+([.,][0-9]+)*', '0'), '[\r\n]+') AS lines,
-         xxhash64(regexp_replace(right(b, 300), '\\s+', '')) AS tail
-  FROM body WHERE b <> ''
-), line AS (
-  SELECT id, tail, left_behind, open_block, i = size(ls) - 1 AS last, l
-  FROM canon LATERAL VIEW explode(array(filter(transform(lines, x -> ltrim(x)), x -> x <> ''))) AS ls LATERAL VIEW posexplode(ls) AS i, l
-), tokens AS (
-  SELECT id, tail, left_behind, open_block, last, w, kind,
-         transform(w, x -> CASE WHEN x = '0' THEN '0' WHEN length(x) > 1 OR lower(x) <> upper(x) THEN 'w' ELSE x END) AS s
+)"""
+
+_LINES = r""", line AS (
+  SELECT i = size(ls) - 1 AS last, l
+  FROM body
+  LATERAL VIEW explode(array(filter(transform(
+    split(regexp_replace(lower(CASE WHEN contains(b, '```') THEN regexp_replace(b, '(?s)```.*?(```|$)', '\n⟦\n') ELSE b END),
+                         '[0-9]+([.,][0-9]+)*', '0'), '[\r\n]+'), x -> ltrim(x)), x -> x <> ''))) AS ls
+  LATERAL VIEW posexplode(ls) AS i, l
+  WHERE b <> ''
+)"""
+
+_LAST = r""", line AS (
+  SELECT id, left_behind, open_block, tail, true AS last,
+         CASE WHEN e = '' THEN '⟦' ELSE ltrim(regexp_replace(lower(substring_index(replace(e, '\r', '\n'), '\n', -1)), '[0-9]+([.,][0-9]+)*', '0')) END AS l
+  FROM (
+    SELECT id, right(b, 16) RLIKE '{left}' AS left_behind,
+           ((length(b) - length(replace(b, '```', ''))) / 3) % 2 = 1 AS open_block,
+           xxhash64(regexp_replace(right(b, 300), '\\s+', '')) AS tail,
+           CASE WHEN contains(b, '```') THEN substring_index(b, '```', -1) ELSE b END AS e
+    FROM body WHERE b <> ''
+  )
+)"""
+
+_TOKENS = r""", tokens AS (
+  SELECT line.*, w, kind,
+         transform(w, x -> CASE WHEN x = '0' THEN '0' WHEN length(x) > 1 OR lower(x) <> upper(x) THEN 'w' ELSE x END) AS sh
   FROM line
   LATERAL VIEW explode(array(regexp_extract_all(l, '[\\pL\\pM_]+|\\S', 0))) AS w
   LATERAL VIEW explode(array(
@@ -56,28 +73,28 @@ WITH body AS (
          WHEN startswith(l, '©') THEN 'c' WHEN startswith(l, '[') THEN 'r'
          WHEN l RLIKE '^[\\pL]+:' THEN 'k' ELSE 'p' END)) AS kind
 ), shaped AS (
-  SELECT id, tail, left_behind, open_block, last, w, kind, sh AS s FROM tokens LATERAL VIEW explode(array(s)) AS sh
+  SELECT * FROM tokens LATERAL VIEW explode(array(sh)) AS s
 ), keyed AS (
-  SELECT id, tail, left_behind, open_block, last, k
+  SELECT *
   FROM shaped LATERAL VIEW explode(array(transform(w, (x, i) -> named_struct(
            'g', xxhash64(kind, get(w, i - 2), get(w, i - 1), x),
            's', xxhash64(kind, get(s, i - 2), get(s, i - 1), get(s, i)))))) AS k
 )
 """
 
-_SQL_END = r"""
-SELECT id, tail, left_behind, open_block, element_at(k, -1) AS e, tail FROM keyed WHERE last
+_SQL_END = _BODY + _LAST + _TOKENS + r"""
+SELECT id, tail, left_behind, open_block, element_at(k, -1) AS e FROM keyed
 """
 
-_SQL_INSIDE = r"""
+_SQL_INSIDE = _BODY + _LINES + _TOKENS + r"""
 SELECT x.g AS g, x.s AS s, count(*) AS n
 FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x
 GROUP BY x.g, x.s
 """
 
 
-def _prelude(id_col: str, text_col: str) -> str:
-    return _SQL.format(id=id_col, text=text_col, blank=BLANK_END, left=LEFT_BEHIND)
+def _filled(sql: str) -> str:
+    return sql.format(id="id", text="text", blank=BLANK_END, left=LEFT_BEHIND)
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,9 +110,8 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pre = _prelude("id", "text")
-    ends = spark.sql(pre + _SQL_END, docs=d)
-    inside = spark.sql(pre + _SQL_INSIDE, docs=d)
+    ends = written(spark.sql(_filled(_SQL_END), docs=d), "ends")
+    inside = spark.sql(_filled(_SQL_INSIDE), docs=d)
     return spark.sql(
         f"""
 WITH end_g AS (
@@ -127,8 +143,6 @@ def cut_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts are not counted; a source without texts has no row; an id that occurs in several rows
     counts once per row.
     """
-    from pyspark.sql import functions as F
-
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
     keyed = rows.withColumn("id", F.struct("source", "id"))
     return (
