@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import stripped
 
@@ -68,7 +69,7 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_object(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first balanced ``{...}`` of a text, or null; braces in strings count, as documented."""
     for s in parts:

@@ -53,7 +53,7 @@ def last_n(trials: DataFrame, n: int = 10, order: str = "trial_number") -> DataF
 
 
 def fixed_decimals(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def summary_line() -> Column:
