@@ -80,9 +80,10 @@ def described(members: DataFrame, typical: int = 3) -> DataFrame:
     return m.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).join(lists, "group_id")
 
 
-def varied(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector", dim: int = DIM, max_leaves: int = cftree.MAX_LEAVES) -> DataFrame:
+def varied(df: DataFrame, k: int | None = None, share: float | None = None, id_col: str = "id", vec_col: str = "vector", dim: int = DIM, max_leaves: int = cftree.MAX_LEAVES) -> DataFrame:
     """``id, group_no, group_size, cos``: at most ``k`` records, the nearest to the centre of each of ``k`` Ward groups.
 
+    The size is given as ``k`` or as a ``share`` of the usable vectors.
     Large groups of similar records get one record each like any other group, so they are not
     over-represented.
 
@@ -91,9 +92,13 @@ def varied(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vector", d
     repeated rows count once; an empty table gives no rows; ``k`` must be between 1 and
     ``max_leaves`` / 2.
     """
-    if not 1 <= k <= max_leaves // 2:
-        raise ValueError(f"k must be between 1 and {max_leaves // 2}")
+    if (k is None) == (share is None):
+        raise ValueError("give either k or share")
     units = written(usable(df, id_col, vec_col, dim), "units")
+    if k is None:
+        k = max(1, round(share * units.count()))
+    if not 1 <= k <= max_leaves // 2:
+        raise ValueError(f"the size must be between 1 and {max_leaves // 2}, not {k}; raise max_leaves")
     n, ls = cftree.summary(units, 1e-9, max_leaves, dim)
     label, _ = cftree.ward(n, ls, groups=k)
     _, ls = cftree.merged(n, ls, label)

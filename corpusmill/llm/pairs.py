@@ -32,10 +32,10 @@ HOT_SHARE, SALTS = 0.01, 16
 
 # Frequent function words by language.
 STOP = {
-    "en": "the of and is a an to in with if which each was its on before after when not for by while but their that this it be or as are were than from",
-    "de": "der die das und ist ein eine einen von mit im in wenn nicht den dem für auf des zu sobald während jede jeden jedes weil falls nachdem bis obwohl solange zwischen ich es aber als auch",
-    "fr": "le la les de des du et est une un dans que qui pour avec sur quand si pas chaque lorsque après plus entre alors tant dès là où à côté je ce mais se au aux",
-    "es": "el la los las de del y es una un en que con por para cuando si no cada pues entre donde más porque hay aunque mientras ya lo se junto a frente como pero",
+    "en": "the of and is a an to in with if which each was its on before after when not for by while but their that this it be or as are were than from within every between only without under until because unless",
+    "de": "der die das und ist ein eine einen von mit im in wenn nicht den dem für auf des zu sobald während jede jeden jedes weil falls nachdem bis obwohl solange zwischen ich es aber als auch bei nach vor hinter trotz unter neben dank aus wird sich nur da dass",
+    "fr": "le la les de des du et est une un dans que qui pour avec sur quand si pas chaque lorsque après plus entre alors tant dès là où à côté je ce mais se au aux sans sous avant derrière pendant puisque elle il son sa ses cette trouve parce",
+    "es": "el la los las de del y es una un en que con por para cuando si no cada pues entre donde más porque hay aunque mientras ya lo se junto a frente como pero es sin sobre antes tras bajo durante siempre apenas desde hasta su al este esta ni",
 }
 # Phrases with which a response declines to answer.
 REFUSALS = [
@@ -54,7 +54,9 @@ REFUSALS = [
 # What stands for a missing answer, and the evaluator's error marker.
 PLACEHOLDERS = {"null", "none", "nan", "n/a", "na", "nil", "undefined", "todo", "tbd", "answer", "your answer", "your answer here", "placeholder", "no answer", "empty", "unknown", "question_evaluation_error", "lorem ipsum", "x", "xxx", "tba", "response", "insert answer here", "answer here"}
 
-_STOP = {lang: frozenset(words.split()) for lang, words in STOP.items()}
+_COUNT = Counter(w for words in STOP.values() for w in set(words.split()))
+# words that several of the languages share say nothing
+_STOP = {lang: frozenset(w for w in words.split() if _COUNT[w] == 1) for lang, words in STOP.items()}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|\S")
 _TAGS = re.compile(r"<[^<>]*>|```\w*|&\w+;")
@@ -160,6 +162,8 @@ def is_cut(text: str, options: list[str], share: dict[str, float]) -> bool:
             return not t.endswith("}")
     if t.count("```") % 2 or re.search(r"(\.\.\.|…|�)$", t) or t.count("**") % 2:
         return True
+    if re.search(r"[(\[{,;:–—]$", t):
+        return True
     if m and not options and not re.search(r"[.!?]\s", body) and len(body.split()) <= 24 and not re.search(r"[,;:(-]$", body):
         return False  # a quoted option whose text is not known
     if _TAIL.search(t) or re.fullmatch(r"\W*[A-Da-d]\W*", t):

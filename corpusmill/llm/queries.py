@@ -45,8 +45,8 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_varied_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A varied subset of 200 chunks."""
-    return clusters.varied(table(spark, sf_dir, "index_row"), 200)
+    """A varied subset of one chunk in 400."""
+    return clusters.varied(table(spark, sf_dir, "index_row"), share=1 / 400)
 
 
 def p4_varied_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
