@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.runtime import written
 
-#: A final trigram is "almost never terminal" below this smoothed share of ends.
-MAX_END_SHARE = 0.02
+#: A final trigram is "almost never terminal" when its smoothed share of ends is below so many times
+#: that of any position, which is one over the mean number of tokens of a text.
+MAX_LIFT = 4
 #: Occurrences with which the share of a trigram's shape counts against its own.
 SHAPE_WEIGHT = 200
 
@@ -121,15 +122,18 @@ shape_end AS (SELECT s, sum(ends) AS ends FROM end_g GROUP BY s),
 shape_in AS (SELECT s, sum(n) AS n FROM in_g GROUP BY s),
 shape AS (
   SELECT e.s, e.ends / (e.ends + coalesce(i.n, 0)) AS share FROM shape_end e LEFT JOIN shape_in i ON e.s = i.s
+), base AS (
+  SELECT sum(e) / sum(n) AS share
+  FROM (SELECT sum(ends) AS e, sum(ends) AS n FROM shape_end UNION ALL SELECT 0 AS e, sum(n) AS n FROM shape_in)
 ), judged AS (
   SELECT e.g, coalesce(i.n, 0) AS inside, e.ends,
          (e.ends - 1 + {SHAPE_WEIGHT} * p.share) / (e.ends - 1 + coalesce(i.n, 0) + {SHAPE_WEIGHT}) AS end_share
   FROM end_g e JOIN shape p ON e.s = p.s LEFT JOIN in_g i ON e.g = i.g
 )
 SELECT t.id AS `{id_col}`,
-       t.left_behind OR t.open_block OR coalesce(j.end_share < {MAX_END_SHARE}, false) AS cut,
+       t.left_behind OR t.open_block OR coalesce(j.end_share < {MAX_LIFT} * base.share, false) AS cut,
        j.inside, j.ends, j.end_share
-FROM {{ends}} t LEFT JOIN judged j ON t.e.g = j.g AND NOT t.left_behind AND NOT t.open_block
+FROM {{ends}} t CROSS JOIN base LEFT JOIN judged j ON t.e.g = j.g AND NOT t.left_behind AND NOT t.open_block
 """,
         ends=ends,
         inside=inside,

@@ -65,7 +65,8 @@ WITH t AS (
 total AS (SELECT coalesce(sum(size), 0) AS total FROM s),
 j AS (
   SELECT t.source, t.target_share, t.max_repeat, coalesce(s.docs, 0) AS docs, coalesce(s.size, 0) AS size, total.total,
-         CAST(t.max_repeat * coalesce(s.size, 0) AS DOUBLE) AS cap
+         CAST(t.max_repeat * coalesce(s.size, 0) AS DOUBLE) AS reach,
+         CASE WHEN t.target_share > 0 THEN CAST(t.max_repeat * coalesce(s.size, 0) AS DOUBLE) ELSE 0D END AS cap
   FROM t LEFT JOIN s ON t.source = s.source CROSS JOIN total
 ), r AS (
   SELECT *, CASE WHEN target_share > 0 THEN cap / target_share END AS full_at,
@@ -78,7 +79,7 @@ j AS (
   WHERE (total - cap_prior) / nullif(share_before, 0) <= full_at
 )
 SELECT r.source, r.target_share, r.max_repeat, r.docs, r.size, r.total,
-       r.cap < r.target_share * r.total AS short,
+       r.reach < r.target_share * r.total AS short,
        CASE WHEN r.target_share = 0 THEN 0D ELSE least(r.cap, coalesce(level.level * r.target_share, r.cap)) END AS planned,
        CASE WHEN r.target_share = 0 OR r.size = 0 THEN 0D
             ELSE least(r.cap, coalesce(level.level * r.target_share, r.cap)) / r.size END AS repeats

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ("empty", "copy", "refusal", "truncated", "other_language")
-#: Share of ends below which a final context is not terminal, with the prior weight of an unseen context.
-MAX_END_SHARE, PRIOR = 0.05, 20
+#: A final context is not terminal when its share of ends is below so many times that of any position
+#: (one over the mean number of tokens of a response); prior weight of an unseen context.
+MAX_LIFT, PRIOR = 0.5, 20
 #: Bytes of a response that its prompt does not explain, as a share of its length, and at least.
 NEW_SHARE, NEW_LEAST = 0.2, 24
 #: Share of the question's own compressed size that is left once the response is known.
@@ -168,7 +169,7 @@ def is_cut(text: str, options: list[str], share: dict[str, float]) -> bool:
         return False  # a quoted option whose text is not known
     if _TAIL.search(t) or re.fullmatch(r"\W*[A-Da-d]\W*", t):
         return False
-    return share.get(contexts(t)[-1] if t else "", 0.0) < MAX_END_SHARE
+    return share.get(contexts(t)[-1] if t else "", 0.0) < MAX_LIFT * share.get("", 0.0)
 
 
 def prose(text: str, options: list[str]) -> str:
@@ -197,7 +198,7 @@ def defect(text: str | None, question: str | None, options: list[str], share: di
 
 
 def end_shares(responses: DataFrame) -> dict[str, float]:
-    """Smoothed share of ends of every shape trigram, counted over all responses.
+    """Smoothed share of ends of every shape trigram, counted over all responses, and under "" that of any position.
 
     Trigrams of at most 21 shapes: what reaches the driver is bounded by their number.
     """
@@ -214,7 +215,8 @@ def end_shares(responses: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], ["c", "i", "e"])
 
     rows = responses.filter("r IS NOT NULL").select("r").mapInArrow(count, "c string, i long, e long").groupBy("c").agg(F.sum("i").alias("i"), F.sum("e").alias("e")).collect()
-    return {x["c"]: x["e"] / (x["e"] + x["i"] + PRIOR) for x in rows}
+    ends, total = sum(x["e"] for x in rows), sum(x["e"] + x["i"] for x in rows)
+    return {x["c"]: x["e"] / (x["e"] + x["i"] + PRIOR) for x in rows} | {"": ends / max(total, 1)}
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
