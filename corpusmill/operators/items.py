@@ -91,9 +91,16 @@ def fit_exams(cells: DataFrame, exam_col: str = "exam", most_cells: int = 5_000_
         if wide.shape[0] < 2:
             return pd.DataFrame({exam_col: [], "trial": [], "question_id": [], "theta": [], "a": [], "b": [], "g": []})
         f = fit(wide.fillna(0).to_numpy(), wide.notna().to_numpy())
-        who = pd.DataFrame({exam_col: exam, "trial": wide.index, "question_id": None, "theta": f.abilities})
-        what = pd.DataFrame({exam_col: exam, "question_id": wide.columns, "a": f.discriminations, "b": f.difficulties, "g": f.guessings})
-        return pd.concat([who, what]).reindex(columns=[exam_col, "trial", "question_id", "theta", "a", "b", "g"])
+        n, m = wide.shape
+        return pd.DataFrame({
+            exam_col: [exam] * (n + m),
+            "trial": [*wide.index.tolist(), *[None] * m],
+            "question_id": [*[None] * n, *wide.columns.tolist()],
+            "theta": [*f.abilities, *[None] * m],
+            "a": [*[None] * n, *f.discriminations],
+            "b": [*[None] * n, *f.difficulties],
+            "g": [*[None] * n, *f.guessings],
+        }).astype({"trial": object, "question_id": object})
 
     kind = {c: cells.schema[c].dataType.simpleString() for c in (exam_col, "trial", "question_id")}
     both = cells.groupBy(exam_col).applyInPandas(one, f"{exam_col} {kind[exam_col]}, trial {kind['trial']}, question_id {kind['question_id']}, theta double, a double, b double, g double")

@@ -46,10 +46,9 @@ class ModelEmbedder:
         def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = factory()
             for s in parts:
-                out = pd.Series([None] * len(s), index=s.index, dtype=object)
-                some = s.notna()
-                if some.any():
-                    out[some] = list(np.asarray(model(s[some].tolist()), dtype=np.float32))
+                some = [t for t in s if t is not None and t == t]
+                made = iter(np.asarray(model(some), dtype=np.float32)) if some else iter(())
+                out = pd.Series([next(made) if t is not None and t == t else None for t in s], dtype=object)
                 yield out
 
         return rows.select(F.col(id_col).alias("id"), encode.asNondeterministic()(F.col(text_col)).alias("vector"))
