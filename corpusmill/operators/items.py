@@ -79,7 +79,7 @@ def fit(matrix: np.ndarray, seen: np.ndarray | None = None, most: int = 1000, to
 def fit_exams(cells: DataFrame, exam_col: str = "exam", most_cells: int = 5_000_000) -> tuple[DataFrame, DataFrame]:
     """``abilities(exam, trial, theta)`` and ``items(exam, question_id, a, b, g)``, one fit a task for each exam.
 
-    ``cells`` is the dense matrix in long form; an exam of more than ``most_cells`` cells is refused with an error.
+    ``cells`` is the matrix in long form; cells that are absent do not count, exams of fewer than two trials have no fit; an exam of more than ``most_cells`` cells is refused with an error.
     """
     import pandas as pd
 
@@ -88,8 +88,6 @@ def fit_exams(cells: DataFrame, exam_col: str = "exam", most_cells: int = 5_000_
             raise ValueError(f"exam with more than {most_cells} cells")
         wide = pdf.pivot(index="trial", columns="question_id", values="correct").sort_index()
         exam = pdf[exam_col].iloc[0]
-        if wide.shape[0] < 2:
-            return pd.DataFrame({exam_col: [], "trial": [], "question_id": [], "theta": [], "a": [], "b": [], "g": []})
         f = fit(wide.fillna(0).to_numpy(), wide.notna().to_numpy())
         n, m = wide.shape
         return pd.DataFrame({
@@ -100,10 +98,11 @@ def fit_exams(cells: DataFrame, exam_col: str = "exam", most_cells: int = 5_000_
             "a": [*[None] * n, *f.discriminations],
             "b": [*[None] * n, *f.difficulties],
             "g": [*[None] * n, *f.guessings],
-        }).astype({"trial": object, "question_id": object})
+        })
 
     kind = {c: cells.schema[c].dataType.simpleString() for c in (exam_col, "trial", "question_id")}
-    both = cells.groupBy(exam_col).applyInPandas(one, f"{exam_col} {kind[exam_col]}, trial {kind['trial']}, question_id {kind['question_id']}, theta double, a double, b double, g double")
+    enough = cells.groupBy(exam_col).agg(F.countDistinct("trial").alias("_n")).filter("_n >= 2").select(exam_col)
+    both = cells.join(enough, exam_col, "left_semi").groupBy(exam_col).applyInPandas(one, f"{exam_col} {kind[exam_col]}, trial {kind['trial']}, question_id {kind['question_id']}, theta double, a double, b double, g double")
     return both.filter("question_id IS NULL").select(exam_col, "trial", "theta"), both.filter("question_id IS NOT NULL").select(exam_col, "question_id", "a", "b", "g")
 
 
