@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ NOT_SELF_CONTAINED = [
 ]
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, also where ``f`` uses it in a lambda or several times."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def stripped(text: Column) -> Column:
     """Text without Unicode white space at its ends; null stays null."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -30,27 +37,42 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
+def ngrams(tokens: Column, n: int | Column) -> Column:
     """Distinct n-grams of a token array, joined by blanks; with fewer than ``n`` tokens none."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    n = F.lit(n) if isinstance(n, int) else n
+
+    def grams(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " ")))
+
+    return bound(tokens, grams)
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays as sets; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Jaccard similarity of two arrays without repeats, as sets; 0 when both are empty."""
 
+    def ratio(x: Column, y: Column) -> Column:
+        return bound(F.size(F.array_intersect(x, y)), lambda c: F.when(F.size(x) + F.size(y) == 0, F.lit(0.0)).otherwise(c / (F.size(x) + F.size(y) - c)))
 
-def jaccard_ngram(a: Column, b: Column, n: int = 3) -> Column:
+    return bound(a, lambda x: bound(b, lambda y: ratio(x, y)))
+
+
+def jaccard_ngram(a: Column, b: Column, n: int | Column = 3) -> Column:
     """Jaccard similarity of word n-grams; of single words when either side is shorter than ``n``.
 
     A null side counts as empty, and an empty side gives 0.
     """
-    x, y = F.coalesce(split_tokens(a), F.array().cast("array<string>")), F.coalesce(split_tokens(b), F.array().cast("array<string>"))
-    short = (F.size(x) < n) | (F.size(y) < n)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(short, set_jaccard(F.array_distinct(x), F.array_distinct(y))).otherwise(
-        set_jaccard(ngrams(x, n), ngrams(y, n))
+    none = F.array().cast("array<string>")
+    return bound(F.coalesce(split_tokens(a), none), lambda x: bound(F.coalesce(split_tokens(b), none), lambda y: token_jaccard(x, y, n)))
+
+
+def token_jaccard(x: Column, y: Column, n: int | Column) -> Column:
+    """:func:`jaccard_ngram` of token arrays."""
+    m = F.lit(n) if isinstance(n, int) else n
+    return (
+        F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0))
+        .when((F.size(x) < m) | (F.size(y) < m), set_jaccard(F.array_distinct(x), F.array_distinct(y)))
+        .otherwise(set_jaccard(ngrams(x, m), ngrams(y, m)))
     )
 
 

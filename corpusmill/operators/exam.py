@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import split_tokens
+from corpusmill.functions.text import bound, split_tokens, token_jaccard
 from corpusmill.functions.vectors import cosine
 from corpusmill.runtime import written
 
@@ -138,35 +138,28 @@ def option_quality(rows: DataFrame, chunk: str = "chunk", options: str = "option
     mean = F.aggregate(F.map_values(o), F.lit(0), lambda s, t: s + F.size(split_tokens(t))) / F.size(o)
     n = F.greatest(F.lit(1), F.floor(mean).cast("int"))
     others = F.filter(labels, lambda x: x != F.col(answer))
-    rows = rows.withColumn("_n", n)
-    text = F.exists(others, lambda x: _jaccard(F.col(chunk), right, F.col("_n")) + EXTRA_JACCARD < _jaccard(F.col(chunk), F.element_at(o, x), F.col("_n")))
-    alike = F.exists(others, lambda x: _jaccard(right, F.element_at(o, x), F.col("_n")) >= INTRA_JACCARD)
+    c, r = split_tokens(F.col(chunk)), split_tokens(right)
+    wrong = F.transform(others, lambda x: split_tokens(F.element_at(o, x)))
+
+    def judged(size: Column) -> Column:
+        """Per distractor: closer to the chunk than the answer, and like the answer."""
+        return bound(c, lambda ct: bound(r, lambda rt: bound(token_jaccard(ct, rt, size), lambda base: F.transform(
+            wrong, lambda w: F.struct((base + EXTRA_JACCARD < token_jaccard(ct, w, size)).alias("close"), (token_jaccard(rt, w, size) >= INTRA_JACCARD).alias("alike"))))))
+
+    rows = rows.withColumn("_judged", F.explode(F.array(bound(n, judged))))  # the generator keeps it from being evaluated per use
+    text, alike = F.exists("_judged", lambda j: j["close"]), F.exists("_judged", lambda j: j["alike"])
     if embeddings:
-        v, c = F.col("option_vecs"), F.col("chunk_vec")
+        v, cv = F.col("option_vecs"), F.col("chunk_vec")
         rv = F.element_at(v, F.col(answer))
-        text = text | F.exists(others, lambda x: cosine(c, rv) + EXTRA_COSINE < cosine(c, F.element_at(v, x)))
+        text = text | F.exists(others, lambda x: cosine(cv, rv) + EXTRA_COSINE < cosine(cv, F.element_at(v, x)))
         alike = alike | F.exists(others, lambda x: cosine(rv, F.element_at(v, x)) >= INTRA_COSINE)
     known = o.isNotNull() & F.col(chunk).isNotNull() & right.isNotNull()
     return (
         rows.withColumn("too_close_to_text", F.when(known, text)).withColumn("too_alike", F.when(known, alike))
-        .withColumn("good", F.coalesce(~F.col("too_close_to_text") & ~F.col("too_alike"), F.lit(False))).drop("_n")
+        .withColumn("good", F.coalesce(~F.col("too_close_to_text") & ~F.col("too_alike"), F.lit(False))).drop("_judged")
     )
 
 
-def _jaccard(a: Column, b: Column, n: Column) -> Column:
-    """N-gram Jaccard similarity with the length as a column."""
-    x, y = split_tokens(a), split_tokens(b)
-
-    def grams(t: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")))
-
-    def ratio(p: Column, q: Column) -> Column:
-        return F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))
-
-    short = (F.size(x) < n) | (F.size(y) < n)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(short, ratio(F.array_distinct(x), F.array_distinct(y))).otherwise(ratio(grams(x), grams(y)))
-
-
 def replacements(chunks: DataFrame, culled: DataFrame, surviving: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The ``n`` chunks that replace culled questions: unused by survivors, culled clusters first, then by a seeded hash.
 

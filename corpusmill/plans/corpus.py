@@ -25,7 +25,7 @@ FROM (SELECT source, lang, {STRIP.format("text")} AS t FROM documents WHERE text
 """)
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with visible text, by source and language."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", text.stripped(F.col("text")).alias("t")).filter("t <> ''")
+    docs = table(spark, sf_dir, "documents", wide=True).select("source", "lang", text.stripped(F.col("text")).alias("t")).filter("t <> ''")
     return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("t")).alias("chars"))
 
 
@@ -49,19 +49,19 @@ def parser_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive chunks of all documents."""
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"))
+    return chunking.chunk_documents(table(spark, sf_dir, "documents", wide=True))
 
 
 @query()
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks at blank lines."""
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "fixed", 1024, 0)
+    return chunking.chunk_documents(table(spark, sf_dir, "documents", wide=True), "fixed", 1024, 0)
 
 
 @query()
 def chunk_exam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exam's chunks with their ids over all documents."""
-    return chunking.chunk_ids(chunking.chunk_documents(table(spark, sf_dir, "documents"), keep_blank=True), "exam_chunk")
+    return chunking.chunk_ids(chunking.chunk_documents(table(spark, sf_dir, "documents", wide=True), keep_blank=True), "exam_chunk")
 
 
 @query(f"""
@@ -71,7 +71,7 @@ SELECT 'chunk_' || (row_number() OVER (ORDER BY doc_id, pos) - 1)::VARCHAR AS ch
 """)
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed windows of all documents, numbered without a single-task window."""
-    rows = chunking.chunk_ids(chunking.fixed_windows(table(spark, sf_dir, "documents"), 512, 64))
+    rows = chunking.chunk_ids(chunking.fixed_windows(table(spark, sf_dir, "documents", wide=True), 512, 64))
     return rows.select("chunk_id", "doc_id", "pos", F.md5("text").alias("digest"))
 
 
@@ -81,7 +81,7 @@ SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::UBIGINT % 64)::INT AS bucket,
 """)
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed term counts of all documents, the entries of their embeddings."""
-    return hash_counts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return hash_counts(table(spark, sf_dir, "documents", wide=True), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 @query(r"""
@@ -94,7 +94,7 @@ FROM mcq_question
 """)
 def self_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that do not lean on a text the reader cannot see."""
-    return table(spark, sf_dir, "mcq_question").select("id", text.self_contained(F.col("question")).alias("ok")).distinct()
+    return table(spark, sf_dir, "mcq_question", wide=True).select("id", text.self_contained(F.col("question")).alias("ok")).distinct()
 
 
 @query("""
@@ -119,4 +119,4 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.map(src.html_text)
 
     page = F.concat(F.lit("<html><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<&]", " "), F.lit("</p></body></html>"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(read(page)).alias("digest"))
+    return table(spark, sf_dir, "documents", wide=True).select("doc_id", F.md5(read(page)).alias("digest"))

@@ -22,7 +22,7 @@ alloc AS (SELECT cluster_id, size, base + CASE WHEN room AND t <= missing THEN 1
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "mcq_question").filter("id IS NOT NULL")
+    q = table(spark, sf_dir, "mcq_question", wide=True).filter("id IS NOT NULL")
     return q.groupBy("id").agg(F.min("question").alias("question"), F.min("cluster_id").alias("cluster_id"))
 
 
@@ -113,7 +113,7 @@ SELECT id, s.close AS too_close_to_text, s.alike AS too_alike, coalesce(NOT s.cl
 def discriminator_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the distractors of each question are neither closer to the text than the answer nor like it."""
     chunk = table(spark, sf_dir, "chunk").groupBy("chunk_id").agg(F.min("text").alias("chunk"))
-    q = table(spark, sf_dir, "mcq_question").withColumn("options", F.col("options").cast("map<string,string>"))
+    q = table(spark, sf_dir, "mcq_question", wide=True).withColumn("options", F.col("options").cast("map<string,string>"))
     keyed = q.select("id", F.array_sort(F.map_entries("options")).alias("e"), "correct_answer", "source_chunk_id").distinct()
     rows = keyed.join(chunk, F.col("source_chunk_id") == F.col("chunk_id"), "left").withColumn("options", F.map_from_entries("e"))
     return exam.option_quality(rows).select("id", "too_close_to_text", "too_alike", "good").distinct()
@@ -124,7 +124,7 @@ SELECT DISTINCT id, coalesce(list_sort(map_keys(options)) = ['A', 'B', 'C', 'D']
 """)
 def valid_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with exactly the four options and an answer among them."""
-    q = table(spark, sf_dir, "mcq_question")
+    q = table(spark, sf_dir, "mcq_question", wide=True)
     return q.select("id", answers.valid_options(F.col("options"), F.col("correct_answer")).alias("ok")).distinct()
 
 
@@ -136,7 +136,7 @@ SELECT id, string_agg(coalesce(t, ''), '|' ORDER BY place) AS shuffled, substr('
 """)
 def shuffle_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options in hash order with the answer's new label."""
-    q = table(spark, sf_dir, "mcq_question").filter(F.size("options") == 4)
+    q = table(spark, sf_dir, "mcq_question", wide=True).filter(F.size("options") == 4)
     mapped, answer = answers.shuffled_options(F.col("id"), F.col("options"), F.col("correct_answer"))
     joined = F.array_join(F.transform(F.map_values(mapped), lambda x: F.coalesce(x, F.lit(""))), "|")
     return q.select("id", joined.alias("shuffled"), answer.alias("answer")).distinct()
@@ -153,7 +153,7 @@ ORDER BY priority, md5('42|' || id), id LIMIT 50
 def replacement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 unused chunks that replace weak questions, chunks of their clusters first."""
     chunks = table(spark, sf_dir, "chunk").groupBy(F.col("chunk_id").alias("id")).agg(F.min((F.col("doc_id") % 20).cast("int")).alias("cluster_id"))
-    q = table(spark, sf_dir, "mcq_question")
+    q = table(spark, sf_dir, "mcq_question", wide=True)
     is_weak = F.coalesce(F.col("discrimination") < 0.3, F.lit(False))
     culled = q.filter(is_weak).select("source_chunk_id").join(chunks, F.col("source_chunk_id") == chunks["id"]).select("cluster_id")
     return exam.replacements(chunks, culled, q.filter(~is_weak), 50)

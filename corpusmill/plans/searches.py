@@ -36,7 +36,7 @@ _ITEMS = "q AS (SELECT item_id AS qid, text AS qtext FROM heldout_item)"
 
 
 def _docs_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "heldout_item").select("item_id", "text")
+    return table(spark, sf_dir, "documents", wide=True).select("doc_id", "text"), table(spark, sf_dir, "heldout_item").select("item_id", "text")
 
 
 @query(f"WITH {_bm25(_ITEMS)} SELECT qid AS item_id, id AS doc_id, rank::INT AS rank, score FROM bm WHERE rank <= 5")
@@ -181,7 +181,7 @@ SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_interse
 def jaccard_question_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigram similarity of each question and its chunk."""
     chunk = table(spark, sf_dir, "chunk").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    q = table(spark, sf_dir, "mcq_question").filter("question IS NOT NULL")
+    q = table(spark, sf_dir, "mcq_question", wide=True).filter("question IS NOT NULL")
     pairs = q.join(chunk, q["source_chunk_id"] == chunk["chunk_id"]).filter("text IS NOT NULL").select("id", "question", "text").distinct()
     return pairs.select("id", F.round(jaccard_ngram(F.col("question"), F.col("text"), 3), 6).alias("jaccard"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.answers import LABELS
-from corpusmill.functions.text import word_tokens
+from corpusmill.functions.text import bound, word_tokens
 from corpusmill.functions.vectors import DIM, hash_embed
 
 
@@ -56,9 +56,11 @@ class ModelEmbedder:
 
 def overlap_answer(options: Column, context: Column) -> Column:
     """The offline generator: names the option that shares most words with the context, the first of equal ones."""
-    words = F.array_distinct(word_tokens(F.coalesce(context, F.lit(""))))
-    scored = F.transform(
-        F.array(*[F.lit(x) for x in LABELS]),
-        lambda k: F.struct((-F.size(F.array_intersect(words, F.coalesce(word_tokens(F.try_element_at(options, k)), F.array().cast("array<string>"))))).alias("s"), k.alias("k")),
-    )
-    return F.concat(F.lit("The answer is "), F.array_min(scored)["k"])
+    def named(words: Column) -> Column:
+        scored = F.transform(
+            F.array(*[F.lit(x) for x in LABELS]),
+            lambda k: F.struct((-F.size(F.array_intersect(words, F.coalesce(word_tokens(F.try_element_at(options, k)), F.array().cast("array<string>"))))).alias("s"), k.alias("k")),
+        )
+        return F.array_min(scored)["k"]
+
+    return F.concat(F.lit("The answer is "), bound(F.array_distinct(word_tokens(F.coalesce(context, F.lit("")))), named))

@@ -29,10 +29,19 @@ def ship_package(spark: SparkSession) -> None:
     sc._corpusmill_shipped = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables as a DataFrame."""
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """One of the test tables as a DataFrame.
+
+    With ``wide`` a table whose scan has fewer tasks than there are cores, as a single small file has, is spread over
+    all of them before costly work on its rows; a scan with enough tasks, as of any large table, is left as it is.
+    """
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if wide:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() * 2 <= cores:
+            return df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
