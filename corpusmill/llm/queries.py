@@ -14,17 +14,17 @@ from . import clusters, cutoff, leak, mixing, neardup, neighbours, pairs
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with their cluster, named by its smallest id."""
-    return clusters.named(clusters.clusters(table(spark, sf_dir, "index_row"))).select("id", "group_id")
+    return clusters.named(clusters.clusters(table(spark, sf_dir, "index_row", wide=True))).select("id", "group_id")
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical chunks of each cluster."""
-    return clusters.described(clusters.clusters(table(spark, sf_dir, "index_row")))
+    return clusters.described(clusters.clusters(table(spark, sf_dir, "index_row", wide=True)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective answers with their defect."""
-    return pairs.defects(table(spark, sf_dir, "question_result"), table(spark, sf_dir, "mcq_question"))
+    return pairs.defects(table(spark, sf_dir, "question_result", wide=True), table(spark, sf_dir, "mcq_question"))
 
 
 def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,24 +34,24 @@ def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of cosine at least 0.9, one among the ten most similar of the other."""
-    return neighbours.close_pairs(table(spark, sf_dir, "index_row"))
+    return neighbours.close_pairs(table(spark, sf_dir, "index_row", wide=True))
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose number is divisible by 50, among all chunks."""
     asked = "CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) % 50 = 0"
-    near = neighbours.nearest(table(spark, sf_dir, "index_row"), queries=asked)
+    near = neighbours.nearest(table(spark, sf_dir, "index_row", wide=True), queries=asked)
     return near.select("id", "other", F.round("cos", 5).alias("cos"), "rank")
 
 
 def p4_varied_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A varied subset of one chunk in 400."""
-    return clusters.varied(table(spark, sf_dir, "index_row"), share=1 / 400)
+    return clusters.varied(table(spark, sf_dir, "index_row", wide=True), share=1 / 400)
 
 
 def p4_varied_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A varied exam of 50 questions, by the vectors of their chunks, with the outdated label kept for comparison."""
-    vectors = table(spark, sf_dir, "index_row").select(F.col("id").alias("source_chunk_id"), "vector").dropDuplicates(["source_chunk_id"])
+    vectors = table(spark, sf_dir, "index_row", wide=True).select(F.col("id").alias("source_chunk_id"), "vector").dropDuplicates(["source_chunk_id"])
     q = table(spark, sf_dir, "mcq_question").filter(F.col("question").isNotNull() & F.col("source_chunk_id").isNotNull())
     q = q.select("id", "source_chunk_id", "cluster_id").groupBy("id").agg(F.min(F.struct("source_chunk_id", "cluster_id")).alias("q"))
     q = q.select("id", "q.source_chunk_id", "q.cluster_id")
@@ -72,42 +72,42 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the held-out items they contain."""
-    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item")).select("doc_id", "item_id")
+    return leak.leaks(table(spark, sf_dir, "documents", wide=True), table(spark, sf_dir, "heldout_item")).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each leaked item occurs in, and its best alignment."""
-    found = leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
+    found = leak.leaks(table(spark, sf_dir, "documents", wide=True), table(spark, sf_dir, "heldout_item"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("best_share"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of source_target that cannot reach their target."""
-    sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents"))
+    sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents", wide=True))
     return mixing.plan(sizes, table(spark, sf_dir, "source_target")).filter("short").select("source")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share, passes and records of each source in the mix."""
-    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))
+    return mixing.report(table(spark, sf_dir, "documents", wide=True), table(spark, sf_dir, "source_target"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", wide=True)
     passes = mixing.plan(mixing.sizes_by_source(docs), table(spark, sf_dir, "source_target"))
     return mixing.mixed(docs.select("doc_id", "source"), passes)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
-    cut = cutoff.cut_texts(table(spark, sf_dir, "documents"))
+    cut = cutoff.cut_texts(table(spark, sf_dir, "documents", wide=True))
     return cut.filter("cut").select("doc_id").distinct()
 
 
 def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source cuts its texts off."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", wide=True)
     return cutoff.cut_rates(docs)
 
 
