@@ -45,15 +45,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", qu
     joined; the distinct query terms are broadcast when their counted size allows.
     """
     terms, stats = index or postings(docs, doc_id, text_col)
-    q = query_terms(queries, query_id, text_col)
+    q = query_terms(queries, query_id, text_col).persist()
     wanted = q.select("term").distinct()
     wanted = maybe_broadcast(wanted, wanted.count(), 40)
     hit = terms.join(wanted, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    pairs = q.join(df, "term").join(hit, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = pairs.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    impact = hit.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))  # stats is one row
+    rows = q.count()
+    if rows * 60 <= BROADCAST_BYTES:
+        # each document's postings meet the queries in one task: scores need no further shuffle
+        pairs = impact.repartition("id").join(F.broadcast(q), "term")
+    else:
+        pairs = impact.join(q, "term")
+    scored = pairs.groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_ranked(scored, k, [F.col("score").desc(), F.col("id")])
 
 
