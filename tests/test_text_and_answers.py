@@ -1,8 +1,6 @@
 """Text functions, answers and JSON against plain Python."""
 
-import json
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,7 +49,7 @@ def test_self_contained(spark):
 @pytest.mark.parametrize(
     ("response", "want"),
     [("B", "B"), ("b", "B"), ("The answer is C", "C"), ("answer: d", "D"), ("A) because", "A"), ("I think B. It is", "B"), ("so it is D", "D"), ("  c  ", "C"),
-     ("no idea", "INVALID"), ("", "INVALID"), ("Maybe a choice: D", "A" if False else "D"), ("ABCD", "INVALID"), ("The answer is B, not A", "B")],
+     ("no idea", "INVALID"), ("", "INVALID"), ("Maybe this choice: D", "D"), ("ABCD", "INVALID"), ("The answer is B, not A", "B")],
 )
 def test_parse_answer(spark, response, want):
     assert rows_of(spark.createDataFrame([(response,)], "t string").select(answers.parse_answer(F.col("t"))))[0][0] == want
@@ -101,4 +99,3 @@ def test_hash_embedding(spark):
     assert out[0]["vector"] == pytest.approx([x / n for x in want])
     two = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r[0], 9) for r in two.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
-    assert re.fullmatch(r"\{.*\}", json.dumps({}))
