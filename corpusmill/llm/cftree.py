@@ -19,13 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import default_parallelism
+from corpusmill.runtime import BROADCAST_BYTES, default_parallelism
 
 from .vectors import DIM, as_list
 
 #: Leaf entries a tree may hold.
 MAX_LEAVES = 1024
 FAN_IN = 8
+#: Parts into which a region is divided at most, and rows of a region that one task reads.
+PARTS = 16
+TASK_ROWS = 50_000
 
 
 class Leaves:
@@ -91,14 +94,9 @@ def merged(n: np.ndarray, ls: np.ndarray, label: np.ndarray) -> tuple[np.ndarray
     return out_n, out_ls
 
 
-def ward(n: np.ndarray, ls: np.ndarray, groups: int | None = None, height: float | None = None) -> tuple[np.ndarray, float]:
-    """Ward agglomeration of entries by nearest-neighbour chains, cut at ``groups`` groups or at ``height``.
-
-    Returns the label of each entry and the height of the last merge kept.
-    """
+def linkage(n: np.ndarray, ls: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges (height, entry, entry) of the Ward agglomeration of entries, by nearest-neighbour chains."""
     m = len(n)
-    if m == 0:
-        return np.zeros(0, int), 0.0
     size = n.astype(float).copy()
     mean = ls / n[:, None]
     sq = (mean * mean).sum(1)
@@ -127,6 +125,18 @@ def ward(n: np.ndarray, ls: np.ndarray, groups: int | None = None, height: float
             alive[a] = False
         else:
             chain.append(b)
+    return merges
+
+
+def ward(n: np.ndarray, ls: np.ndarray, groups: int | None = None, height: float | None = None) -> tuple[np.ndarray, float]:
+    """Ward agglomeration of entries, cut at ``groups`` groups or at ``height``.
+
+    Returns the label of each entry and the height of the last merge kept.
+    """
+    m = len(n)
+    if m == 0:
+        return np.zeros(0, int), 0.0
+    merges = linkage(n, ls)
     order = sorted(range(len(merges)), key=lambda i: merges[i][0])
     keep = order[: max(m - groups, 0)] if groups is not None else [i for i in order if merges[i][0] <= (height or 0.0)]
     root = np.arange(m)
@@ -148,8 +158,11 @@ def _entries(leaves: Leaves, key: int) -> pd.DataFrame:
     return pd.DataFrame({"part": key, "n": leaves.n, "ls": list(leaves.ls), "t": leaves.threshold})
 
 
-def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf entries (counts, sums) of one cluster-feature tree over the column ``u`` of all rows."""
+def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, dim: int = DIM) -> tuple[np.ndarray, np.ndarray, float]:
+    """Leaf entries (counts, sums) of one cluster-feature tree over the column ``u`` of all rows, and its threshold.
+
+    A threshold above the given one tells that the tree was condensed.
+    """
     spark = units.sparkSession
     schema = "part long, n double, ls array<double>, t double"
 
@@ -182,8 +195,8 @@ def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, di
         if width == 1:
             break
         width //= FAN_IN
-    rows = parts.select("n", "ls").toPandas()
-    return rows["n"].to_numpy(dtype=np.float64), np.array(rows["ls"].tolist(), dtype=np.float64).reshape(-1, dim)
+    rows = parts.select("n", "ls", "t").toPandas()
+    return rows["n"].to_numpy(dtype=np.float64), np.array(rows["ls"].tolist(), dtype=np.float64).reshape(-1, dim), float(rows["t"].max()) if len(rows) else threshold
 
 
 def nearest(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) -> DataFrame:
@@ -258,3 +271,105 @@ def sums(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) ->
 def directions(ls: np.ndarray) -> np.ndarray:
     """Rows at unit length."""
     return ls / np.maximum(np.sqrt((ls * ls).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _salted(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` with a part ``s`` of their region ``r`` of about ``TASK_ROWS`` rows; the number of parts of each region; the largest."""
+    parts = rows.groupBy("r").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("long").alias("parts"))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    return rows.join(parts, "r").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"), parts, most
+
+
+def trees(rows: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, dim: int = DIM) -> DataFrame:
+    """``r, s, n, ls, t``: the leaf entries of one tree for each region ``r`` of the rows ``id, u, r``, and its threshold."""
+    schema = "r long, s long, n double, ls array<double>, t double"
+
+    def table(r: int, s: int, tree: Leaves) -> pa.Table:
+        m = len(tree.n)
+        return pa.table({"r": pa.array(np.full(m, r)), "s": pa.array(np.full(m, s)), "n": pa.array(tree.n), "ls": as_list(tree.ls, pa.float64()), "t": pa.array(np.full(m, tree.threshold))})
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        tree = Leaves(threshold, max_leaves, dim)
+        x = matrix(t.sort_by("id").column("u"), dim).astype(np.float64)
+        tree.add(np.ones(len(x)), x)
+        return table(key[0].as_py(), key[1].as_py(), tree)
+
+    def join(key: tuple, t: pa.Table) -> pa.Table:
+        n, ls, up = t.column("n").to_numpy(), matrix(t.column("ls"), dim), t.column("t").to_numpy()
+        order = np.lexsort((ls[:, 1], ls[:, 0], -n))
+        tree = Leaves(float(up.max()), max_leaves, dim)
+        tree.add(n[order], ls[order])
+        return table(key[0].as_py(), key[1].as_py(), tree)
+
+    salted, _, width = _salted(rows)
+    parts = salted.groupBy("r", "s").applyInArrow(build, schema)
+    while width > 1:
+        width = -(-width // FAN_IN)
+        parts = parts.withColumn("s", F.col("s") % width).groupBy("r", "s").applyInArrow(join, schema)
+    return parts
+
+
+def matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A list column as a matrix."""
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def nearest_of_region(rows: DataFrame, centres: DataFrame, dim: int = DIM) -> DataFrame:
+    """``id, u, r, c, cos``: the nearest of the centres ``r, c, ls`` of the row's own region, and its cosine."""
+    salted, parts, _ = _salted(rows)
+    spread = centres.join(parts, "r").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("r", "s", "c", "ls")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("c")
+        u = left.column("u").combine_chunks()
+        x, c = matrix(left.column("u"), dim), directions(matrix(right.column("ls"), dim)).astype(np.float32)
+        at, top = np.zeros(len(x), int), np.zeros(len(x))
+        for a in range(0, len(x), 4096):
+            g = x[a : a + 4096] @ c.T
+            at[a : a + 4096] = g.argmax(axis=1)
+            top[a : a + 4096] = g.max(axis=1)
+        return pa.table({"id": left.column("id"), "u": u, "r": left.column("r"), "c": right.column("c").to_numpy()[at], "cos": top})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return salted.select("id", "u", "r", "s").groupBy("r", "s").cogroup(spread.groupBy("r", "s")).applyInArrow(assign, f"id {kind}, u array<float>, r long, c long, cos double")
+
+
+def marked(n: np.ndarray, ls: np.ndarray, parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` directions of entries, and the one of ``parts`` Ward groups each is in."""
+    if len(n) > most:
+        n, ls = merged(n, ls, ward(n, ls, groups=most)[0])
+    return directions(ls).astype(np.float32), ward(n, ls, groups=parts)[0]
+
+
+def routed(rows: DataFrame, marks: dict[int, tuple[np.ndarray, np.ndarray]], dim: int = DIM) -> DataFrame:
+    """``id, u, r``: the rows of the regions of ``marks``, divided by the group of the nearest direction."""
+    ship = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, r = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), b.column(2).to_numpy()
+            to = np.zeros(len(r), np.int64)
+            for k in np.unique(r):
+                c, label = ship.value[int(k)]
+                at = np.flatnonzero(r == k)
+                to[at] = k * PARTS + 1 + label[(x[at] @ c.T).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(to)], ["id", "u", "r"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "u", "r").mapInArrow(route, f"id {kind}, u array<float>, r long")
+
+
+def divided(rows: DataFrame, leaves: DataFrame, parts: DataFrame, dim: int = DIM) -> DataFrame:
+    """``id, u, r``: the rows of the regions of ``parts`` (``r, parts``), divided by Ward linkage of their leaves.
+
+    The directions that are broadcast stay under ``BROADCAST_BYTES``: more regions have fewer each.
+    """
+    most = max(2 * PARTS, BROADCAST_BYTES // (4 * dim * max(parts.count(), 1)))
+
+    def mark(t: pa.Table) -> pa.Table:
+        c, label = marked(t.column("n").to_numpy(), matrix(t.column("ls"), dim), t.column("parts")[0].as_py(), most)
+        return pa.table({"r": pa.array(np.full(len(c), t.column("r")[0].as_py())), "c": as_list(c), "label": pa.array(label.astype(np.int64))})
+
+    found = leaves.join(parts, "r").groupBy("r").applyInArrow(mark, "r long, c array<float>, label long").toArrow()
+    at, c, label = found.column("r").to_numpy(), matrix(found.column("c"), dim), found.column("label").to_numpy()
+    return routed(rows.join(F.broadcast(parts), "r", "left_semi"), {int(k): (c[at == k], label[at == k]) for k in np.unique(at)}, dim)

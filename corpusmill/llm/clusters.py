@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.runtime import written
 
 from . import cftree
-from .vectors import DIM, usable
+from .vectors import DIM, as_list, usable
 
 #: Least cosine of a member with the mean direction of its cluster.
 MEMBER_COS = 0.55
@@ -24,6 +25,9 @@ CUT_INCREASE = 0.9
 SAME_COS = 0.5
 #: Least average pairwise cosine of a cluster; chance groups of few vectors stay below.
 PAIR_COS = 0.36
+#: Leaf entries of a tree for each group cut from it, and the Ward increase up to which vectors count as equal.
+LEAVES_A_GROUP = 8
+LEAST_INCREASE = 1e-9
 
 
 def _united(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +55,7 @@ def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: in
     rows; extra columns are ignored.
     """
     units = written(usable(df, id_col, vec_col, dim), "units")
-    n, ls = cftree.summary(units, LEAF_INCREASE, dim=dim)
+    n, ls, _ = cftree.summary(units, LEAF_INCREASE, dim=dim)
     label, _ = cftree.ward(n, ls, height=CUT_INCREASE)
     n, ls = _united(*cftree.merged(n, ls, label))
     centres = cftree.directions(ls[n >= LEAST])
@@ -80,6 +84,63 @@ def described(members: DataFrame, typical: int = 3) -> DataFrame:
     return m.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).join(lists, "group_id")
 
 
+def _by_region(units: DataFrame, k: int, dim: int, max_leaves: int) -> DataFrame:
+    """``id, c, cos``: the Ward group among ``k`` of every row, with a tree for each region.
+
+    Regions are nodes of the Ward hierarchy.  All are cut at one height, which leaves ``k`` groups in total, so a
+    region gets as many as its variety asks for.  Regions whose trees were condensed above that height are divided
+    and summarised again, then condensed ones with fewer than ``LEAVES_A_GROUP`` leaves for each of their groups.
+    Rows are assigned to groups of their own region.
+    """
+    room = max(max_leaves // LEAVES_A_GROUP, 2)
+    rows = units.withColumn("r", F.lit(0).cast("long"))
+    n, ls, t = cftree.summary(units, LEAST_INCREASE, max_leaves, dim)
+    if t > LEAST_INCREASE:
+        rows = written(cftree.routed(rows, {0: cftree.marked(n, ls, cftree.PARTS, max_leaves)}, dim), "regions")
+
+    def heights(t: pa.Table) -> pa.Table:
+        h = [m[0] for m in cftree.linkage(t.column("n").to_numpy(), cftree.matrix(t.column("ls"), dim).copy())]
+        return pa.table({"r": pa.array(np.full(len(h), t.column("r")[0].as_py())), "i": pa.array(np.arange(len(h))), "h": pa.array(h, pa.float64())})
+
+    def summed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        leaves = written(cftree.trees(rows, LEAST_INCREASE, max_leaves, dim), "leaves")
+        return leaves, written(leaves.groupBy("r").applyInArrow(heights, "r long, i long, h double"), "merges")
+
+    (leaves, merges), before = summed(rows), 0
+    while True:
+        regions = leaves.groupBy("r").agg(F.max("t").alias("t"))
+        count = regions.count()
+        split = merges.orderBy(F.col("h").desc(), "r", "i").limit(max(k - count, 0)).groupBy("r").agg(F.count(F.lit(1)).alias("groups"), F.min("h").alias("h"))
+        quota = written(regions.join(split, "r", "left").select("r", "t", (F.coalesce("groups", F.lit(0)) + 1).alias("groups"), "h"), "quota")
+        total, height = quota.agg(F.sum("groups"), F.min("h")).first()
+        condensed = quota.filter(F.col("t") > LEAST_INCREASE)
+        # with fewer groups than wanted every condensed tree hides some
+        over = condensed.filter(F.col("t") >= (height if total == k else 0.0)) if count < k else condensed.limit(0)
+        if over.isEmpty():
+            over = condensed.filter(F.col("groups") > room)
+        parts = over.select("r", F.greatest(F.lit(2), F.least(F.lit(cftree.PARTS), F.ceil(2 * F.col("groups") / room))).cast("int").alias("parts"))
+        if parts.isEmpty():
+            break
+        if count <= before:
+            raise RuntimeError("a region could not be divided")
+        parts, before = written(parts, "parts"), count
+        moved = written(cftree.divided(rows, leaves, parts, dim), "regions")
+        # only what was divided is summarised again
+        rows, leaves, merges = (a.join(F.broadcast(parts), "r", "left_anti").unionByName(b) for a, b in zip((rows, leaves, merges), (moved, *summed(moved))))
+
+    def cut(t: pa.Table) -> pa.Table:
+        n, ls = t.column("n").to_numpy(), cftree.matrix(t.column("ls"), dim)
+        label, _ = cftree.ward(n, ls, groups=t.column("groups")[0].as_py())
+        _, ls = cftree.merged(n, ls, label)
+        c = t.column("first")[0].as_py() + np.arange(len(ls))
+        return pa.table({"r": pa.array(np.full(len(ls), t.column("r")[0].as_py())), "c": pa.array(c), "ls": as_list(ls, pa.float64())})
+
+    # the window runs over one row a region
+    first = quota.select("r", "groups", (F.sum("groups").over(Window.orderBy("r")) - F.col("groups")).alias("first"))
+    centres = leaves.join(first, "r").groupBy("r").applyInArrow(cut, "r long, c long, ls array<double>")
+    return cftree.nearest_of_region(rows, centres, dim).select("id", F.col("c").cast("int").alias("c"), "cos")
+
+
 def varied(df: DataFrame, k: int | None = None, share: float | None = None, id_col: str = "id", vec_col: str = "vector", dim: int = DIM, max_leaves: int = cftree.MAX_LEAVES) -> DataFrame:
     """``id, group_no, group_size, cos``: at most ``k`` records, the nearest to the centre of each of ``k`` Ward groups.
 
@@ -89,20 +150,23 @@ def varied(df: DataFrame, k: int | None = None, share: float | None = None, id_c
 
     Defined results: unusable vectors and null ids cannot be chosen; with fewer different
     vectors than ``k`` there are fewer records; equal distances go to the smallest id;
-    repeated rows count once; an empty table gives no rows; ``k`` must be between 1 and
-    ``max_leaves`` / 2.
+    repeated rows count once; an empty table gives no rows; ``k`` must be at least 1.  A subset
+    too large for the leaves of one tree is chosen by region, see :func:`_by_region`.
     """
     if (k is None) == (share is None):
         raise ValueError("give either k or share")
     units = written(usable(df, id_col, vec_col, dim), "units")
     if k is None:
         k = max(1, round(share * units.count()))
-    if not 1 <= k <= max_leaves // 2:
-        raise ValueError(f"the size must be between 1 and {max_leaves // 2}, not {k}; raise max_leaves")
-    n, ls = cftree.summary(units, 1e-9, max_leaves, dim)
-    label, _ = cftree.ward(n, ls, groups=k)
-    _, ls = cftree.merged(n, ls, label)
-    near = cftree.nearest(units, cftree.directions(ls), -1.5, dim)
+    if k < 1:
+        raise ValueError(f"the size must be at least 1, not {k}")
+    if k > max_leaves // LEAVES_A_GROUP:
+        near = _by_region(units, k, dim, max_leaves)
+    else:
+        n, ls, _ = cftree.summary(units, LEAST_INCREASE, max_leaves, dim)
+        label, _ = cftree.ward(n, ls, groups=k)
+        _, ls = cftree.merged(n, ls, label)
+        near = cftree.nearest(units, cftree.directions(ls), -1.5, dim)
     return near.groupBy("c").agg(
         F.min(F.struct(-F.col("cos"), F.col("id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),

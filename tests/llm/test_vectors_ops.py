@@ -112,6 +112,19 @@ def test_varied_subset_covers_small_groups(spark):
         clusters.varied(df)
 
 
+def test_varied_subset_larger_than_a_tree(spark):
+    sizes = tuple(3 + 40 * (k % 10 == 0) for k in range(100))
+    x, label = made(seed=6, sizes=sizes, noise=0)
+    centre = np.stack([x[label == k].mean(0) for k in range(100)])
+    x = centre[label] + 0.05 * x
+    got = clusters.varied(frame(spark, rows(x)).repartition(4), 100, max_leaves=64).collect()
+    assert {label[int(r["id"][1:])] for r in got} == set(range(100)) and len(got) == 100
+    assert sorted(r["group_size"] for r in got) == sorted(sizes)
+    assert len({r["group_no"] for r in got}) == 100
+    few = [(f"i{k}", [1.0] * (k % 40 + 1) + [0.0] * (63 - k % 40), "", 0, "") for k in range(200)]
+    assert len(clusters.varied(frame(spark, few), 100, max_leaves=64).collect()) == 40
+
+
 def brute(x, ids, k):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(u @ u.T, 6)
