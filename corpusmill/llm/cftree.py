@@ -199,10 +199,24 @@ def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, di
     return rows["n"].to_numpy(dtype=np.float64), np.array(rows["ls"].tolist(), dtype=np.float64).reshape(-1, dim), float(rows["t"].max()) if len(rows) else threshold
 
 
+def two_nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centre by cosine of each row, that cosine and the second-best, in blocks of bounded size."""
+    best, top, other = np.zeros(len(x), np.int32), np.full(len(x), -2.0), np.full(len(x), -2.0)
+    step = max(1, 8_000_000 // max(len(c), 1))
+    for a in range(0, len(x) if len(c) else 0, step):
+        s = x[a : a + step] @ c.T
+        at = np.arange(len(s))
+        b = s.argmax(axis=1)
+        best[a : a + step], top[a : a + step] = b, s[at, b]
+        s[at, b] = -2
+        other[a : a + step] = s.max(axis=1)
+    return best, top, other
+
+
 def nearest(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) -> DataFrame:
     """``id, c, cos, other``: nearest centre by cosine of each row, if at least ``lower``, and the second-best cosine.
 
-    ``centres`` are unit rows, bounded by the tree's leaves.
+    ``centres`` are unit rows, one a cluster or group.
     """
     ship = units.sparkSession.sparkContext.broadcast(centres.astype(np.float32))
     kind = units.schema["id"].dataType.simpleString()
@@ -211,13 +225,7 @@ def nearest(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM)
         c = ship.value
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            best, top, other = np.zeros(len(x), np.int32), np.full(len(x), -2.0), np.full(len(x), -2.0)
-            if len(c) and len(x):
-                s = x @ c.T
-                best = s.argmax(axis=1).astype(np.int32)
-                top = s[np.arange(len(x)), best].astype(np.float64)
-                s[np.arange(len(x)), best] = -2
-                other = s.max(axis=1).astype(np.float64)
+            best, top, other = two_nearest(x, c)
             keep = pa.array(np.flatnonzero(top >= lower))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(keep), pa.array(best).take(keep), pa.array(top).take(keep), pa.array(other).take(keep)],
@@ -241,9 +249,8 @@ def sums(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) ->
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             if len(x) and len(c):
-                s = x @ c.T
-                best = s.argmax(axis=1)
-                ok = s[np.arange(len(x)), best] >= lower
+                best, top, _ = two_nearest(x, c)
+                ok = top >= lower
                 np.add.at(n, best[ok], 1)
                 np.add.at(ls, best[ok], x[ok].astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c)) % FAN_IN), pa.array(np.arange(len(c))), pa.array(n), as_list(ls, pa.float64())], ["part", "c", "n", "ls"])

@@ -25,6 +25,8 @@ CUT_INCREASE = 0.9
 SAME_COS = 0.5
 #: Least average pairwise cosine of a cluster; chance groups of few vectors stay below.
 PAIR_COS = 0.36
+#: Fewest vectors of a part of a cluster, as a region may hold it.
+SEED = 3
 #: Leaf entries of a tree for each group cut from it, and the Ward increase up to which vectors count as equal.
 LEAVES_A_GROUP = 8
 LEAST_INCREASE = 1e-9
@@ -32,22 +34,80 @@ LEAST_INCREASE = 1e-9
 
 def _united(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups whose mean directions are so close that no member could keep below ``OTHER_COS`` are parts of one cluster."""
-    while len(n) > 1:
-        c = cftree.directions(ls)
-        g = np.triu(c @ c.T, 1)
-        a, b = np.unravel_index(int(g.argmax()), g.shape)
-        if g[a, b] < SAME_COS:
-            break
+    c, alive = cftree.directions(ls), np.ones(len(n), bool)
+    top, near = np.full(len(n), -2.0), np.zeros(len(n), int)
+
+    def scan(rows: np.ndarray) -> None:
+        for at in np.array_split(rows, len(rows) // 256 + 1):
+            g = c[at] @ c.T
+            g[:, ~alive] = -2
+            g[np.arange(len(at)), at] = -2
+            top[at], near[at] = g.max(axis=1, initial=-2), g.argmax(axis=1) if len(at) else 0
+
+    scan(np.arange(len(n)))
+    while len(n) and top.max() >= SAME_COS:
+        a = int(top.argmax())
+        a, b = sorted((a, int(near[a])))
         n[a] += n[b]
         ls[a] += ls[b]
-        n, ls = np.delete(n, b), np.delete(ls, b, axis=0)
-    return n, ls
+        c[a], alive[b], top[b] = cftree.directions(ls[a : a + 1])[0], False, -2
+        scan(np.flatnonzero(alive & ((near == a) | (near == b) | (np.arange(len(n)) == a))))
+        g = c @ c[a]
+        nearer = alive & (g > top)
+        nearer[a] = False
+        top[nearer], near[nearer] = g[nearer], a
+    return n[alive], ls[alive]
+
+
+def _pair_cos(n: np.ndarray, ls: np.ndarray) -> np.ndarray:
+    """Average pairwise cosine of groups."""
+    return ((ls * ls).sum(axis=1) - n) / np.maximum(n * (n - 1), 1)
+
+
+def _refined(units: DataFrame, centres: np.ndarray, dim: int) -> np.ndarray:
+    """Mean directions after two passes over the rows, of what remains a cluster."""
+    for _ in range(2):
+        n, ls = _united(*cftree.sums(units, centres, MEMBER_COS, dim))
+        centres = cftree.directions(ls[(n >= LEAST) & (_pair_cos(n, ls) >= PAIR_COS)])
+    return centres
+
+
+def _seeds(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ward groups of leaves that can be parts of a cluster."""
+    label, _ = cftree.ward(n, ls, height=CUT_INCREASE)
+    n, ls = cftree.merged(n, ls, label)
+    keep = (n >= LEAST) | (n >= SEED) & (_pair_cos(n, ls) >= PAIR_COS)
+    return n[keep], ls[keep]
+
+
+def _seeds_by_region(rest: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds among the rows, divided into regions until no tree is condensed."""
+    n, ls, t = cftree.summary(rest, LEAF_INCREASE, dim=dim)
+    if t <= LEAF_INCREASE:
+        return _seeds(n, ls)
+
+    def seeds(t: pa.Table) -> pa.Table:
+        n, ls = _seeds(t.column("n").to_numpy(), cftree.matrix(t.column("ls"), dim))
+        return pa.table({"n": pa.array(n), "ls": as_list(ls, pa.float64())})
+
+    rows = written(cftree.routed(rest.withColumn("r", F.lit(0).cast("long")), {0: cftree.marked(n, ls, cftree.PARTS, cftree.MAX_LEAVES)}, dim), "regions")
+    found = []
+    for _ in range(14):  # region numbers fill a long after that
+        leaves = written(cftree.trees(rows, LEAF_INCREASE, dim=dim), "leaves")
+        over = written(leaves.groupBy("r").agg(F.max("t").alias("t")).filter(F.col("t") > LEAF_INCREASE).select("r", F.lit(cftree.PARTS).alias("parts")), "parts")
+        found.append(leaves.join(F.broadcast(over), "r", "left_anti").groupBy("r").applyInArrow(seeds, "n double, ls array<double>").toArrow())
+        if over.isEmpty():
+            all_found = pa.concat_tables(found)
+            return all_found.column("n").to_numpy().copy(), cftree.matrix(all_found.column("ls"), dim).copy()
+        rows = written(cftree.divided(rows, leaves, over, dim), "regions")
+    raise RuntimeError("a region could not be divided")
 
 
 def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: int = DIM) -> DataFrame:
     """``id, c, cos``: the cluster number and centre cosine of every id that belongs to a cluster.
 
-    Cluster-feature trees summarise each partition, the summaries are tree-reduced, the leaves
+    Cluster-feature trees summarise each partition, the summaries are tree-reduced, rows whose tree
+    had to be condensed are divided into regions until no tree is, as it could mix clusters, the leaves
     agglomerated by Ward linkage, means recomputed over all rows, and every row assigned.
 
     Defined results: unusable vectors, null ids and vectors that fit no cluster have no row;
@@ -55,15 +115,18 @@ def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: in
     rows; extra columns are ignored.
     """
     units = written(usable(df, id_col, vec_col, dim), "units")
-    n, ls, _ = cftree.summary(units, LEAF_INCREASE, dim=dim)
-    label, _ = cftree.ward(n, ls, height=CUT_INCREASE)
-    n, ls = _united(*cftree.merged(n, ls, label))
-    centres = cftree.directions(ls[n >= LEAST])
-    for _ in range(2):
-        n, ls = _united(*cftree.sums(units, centres, MEMBER_COS, dim))
-        pair = ((ls * ls).sum(axis=1) - n) / np.maximum(n * (n - 1), 1)
-        keep = (n >= LEAST) & (pair >= PAIR_COS)
-        centres = cftree.directions(ls[keep])
+    centres, rest, left, rounds = np.zeros((0, dim)), units, units.count(), 0
+    while left >= LEAST:
+        new = _refined(rest, cftree.directions(_united(*_seeds_by_region(rest, dim))[1]), dim)
+        if not len(new):
+            break
+        centres, rounds, before = np.concatenate([centres, new]), rounds + 1, left
+        rest = written(rest.join(cftree.nearest(rest, new, MEMBER_COS, dim).select("id"), "id", "left_anti"), "rest")
+        left = rest.count()
+        if left == before:
+            break
+    if rounds > 1:
+        centres = _refined(units, centres, dim)
     found = cftree.nearest(units, centres, MEMBER_COS, dim).filter(F.col("other") < OTHER_COS).select("id", "c", "cos")
     return written(found, "members")
 
@@ -71,7 +134,7 @@ def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: in
 def named(members: DataFrame) -> DataFrame:
     """``id, group_id, cos``: clusters named by their smallest id."""
     names = members.groupBy("c").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST)
-    # one row per cluster, bounded by the leaves of the tree
+    # one row per cluster
     return members.join(F.broadcast(names), "c").select("id", "group_id", "cos")
 
 

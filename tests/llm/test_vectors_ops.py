@@ -89,6 +89,22 @@ def test_clusters_found(spark):
     assert all(len(r["typical"].split(",")) == 3 for r in d.values())
 
 
+def test_more_clusters_than_leaves(spark):
+    rng = np.random.default_rng(3)
+    bits = (np.arange(64)[:, None] >> np.arange(6)) & 1
+    forms = []
+    while len(forms) < 18:  # signs of quadratic forms that differ everywhere: cosines of at most 0.25
+        q = np.triu(rng.integers(0, 2, (6, 6)), 1)
+        signs = 1 - 2 * (((bits @ q) * bits).sum(1) % 2)
+        if all(np.abs((signs * f) @ (1 - 2 * ((bits @ bits.T) % 2))).max() <= 16 for f in forms):
+            forms.append(signs)
+    centre = np.concatenate([f * (1 - 2 * ((bits @ bits.T) % 2)) for f in forms])[:1100] / 8
+    label = np.repeat(np.arange(1100), 6)
+    data = rows(centre[label] + rng.normal(size=(6600, 64)) * 0.05 / 8)
+    got = {r["id"]: r["group_id"] for r in clusters.named(clusters.clusters(frame(spark, data).repartition(4))).collect()}
+    assert got == {d[0]: data[6 * k][0] for d, k in zip(data, label)}
+
+
 def test_clusters_of_nothing(spark):
     assert clusters.named(clusters.clusters(frame(spark, []))).count() == 0
     x, _ = made(sizes=(), noise=12)
