@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -16,6 +18,9 @@ from corpusmill.runtime import written
 # Margins and limits of distractor quality.
 EXTRA_JACCARD, EXTRA_COSINE, INTRA_JACCARD, INTRA_COSINE = 0.05, 0.05, 0.70, 0.85
 
+#: Rounds of the greedy walk after which what is left of a group is walked in one task, if it has at most so many edges.
+WALK_AFTER, WALK_EDGES = 8, 1_000_000
+
 
 def n_clusters(n_chunks: int, exam_size: int, explicit: int | None = None) -> int:
     """The explicit number, else the root of the number of chunks, between 1 and the exam size."""
@@ -106,22 +111,44 @@ def close_edges(rows: DataFrame, threshold: float, group_col: str, pos_col: str
     return spread.groupBy("grp", "i", "j").applyInArrow(compare, f"grp {rows.schema[group_col].dataType.simpleString()}, a long, b long")
 
 
-def greedy_kept(rows: DataFrame, edges: DataFrame, group_col: str, pos_col: str = "pos", rounds: int = 200) -> DataFrame:
+def greedy_kept(rows: DataFrame, edges: DataFrame, group_col: str, pos_col: str = "pos") -> DataFrame:
     """``grp, pos``: the rows a walk in order of position keeps, when a kept row drops its later neighbours.
 
     Rounds decide, in parallel, every row whose earlier neighbours are all decided: it is dropped if one of them is kept.
+    They go on until no row is undecided; each decides at least the first undecided row of a group.  After
+    ``WALK_AFTER`` rounds, as long chains need, a group with at most ``WALK_EDGES`` undecided edges is walked in one task.
     """
     state = written(rows.select(F.col(group_col).alias("grp"), F.col(pos_col).cast("long").alias("pos"), F.lit(None).cast("boolean").alias("kept")).distinct(), "greedy")
     edges = written(edges, "edges")
-    for _ in range(rounds):
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("b", "ascending"), ("a", "ascending")])
+        kept: dict[int, bool] = {}
+        for a, b, a_kept in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("a_kept").to_pylist()):
+            if a is not None:
+                hit = a_kept if a_kept is not None else kept[a]
+                kept[b] = kept.get(b, True) and not hit
+            else:
+                kept.setdefault(b, True)
+        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(kept), t.schema.field("grp").type), "pos": pa.array(list(kept), pa.int64()), "walked": pa.array(list(kept.values()), pa.bool_())})
+
+    for turn in itertools.count(1):
         earlier = edges.join(state.select("grp", F.col("pos").alias("a"), "kept"), ["grp", "a"]).groupBy("grp", F.col("b").alias("pos")).agg(
             F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open")
         )
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
         state = written(state.join(earlier, ["grp", "pos"], "left").select("grp", "pos", now.alias("kept")), "greedy")
         if state.filter("kept IS NULL").isEmpty():
-            break
-    return state.filter("kept").select("grp", "pos")
+            return state.filter("kept").select("grp", "pos")
+        if turn >= WALK_AFTER:
+            undecided = state.filter("kept IS NULL").select("grp", F.col("pos").alias("b"))
+            sides = edges.join(state.filter("kept IS NULL OR kept").select("grp", F.col("pos").alias("a"), F.col("kept").alias("a_kept")), ["grp", "a"])
+            into = written(undecided.join(sides, ["grp", "b"], "left"), "undecided")
+            few = into.groupBy("grp").count().filter(F.col("count") <= WALK_EDGES).select("grp")
+            walked = into.join(few, "grp", "left_semi").groupBy("grp").applyInArrow(walk, f"grp {state.schema['grp'].dataType.simpleString()}, pos long, walked boolean")
+            state = written(state.join(walked, ["grp", "pos"], "left").select("grp", "pos", F.coalesce("kept", "walked").alias("kept")), "greedy")
+            if state.filter("kept IS NULL").isEmpty():
+                return state.filter("kept").select("grp", "pos")
 
 
 def option_quality(rows: DataFrame, chunk: str = "chunk", options: str = "options", answer: str = "correct_answer", embeddings: bool = False) -> DataFrame:

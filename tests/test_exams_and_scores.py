@@ -79,6 +79,17 @@ def test_greedy_walk(spark):
     assert exam.greedy_kept(none, exam.close_edges(none, 0.6, "g"), "g").count() == 0
 
 
+def test_greedy_walk_of_long_chains(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, i) for g in ("a", "b") for i in range(1000)] + [("c", 1)], "g string, pos long")
+    edges = spark.createDataFrame([(g, i, i + 1) for g in ("a", "b") for i in range(999)], "grp string, a long, b long")
+    got = {tuple(r) for r in exam.greedy_kept(rows, edges, "g").collect()}
+    assert got == {(g, i) for g in ("a", "b") for i in range(0, 1000, 2)} | {("c", 1)}
+    short = edges.filter("a < 14")
+    monkeypatch.setattr(exam, "WALK_EDGES", 3)
+    got = {tuple(r) for r in exam.greedy_kept(rows.filter("pos < 15"), short, "g").collect()}
+    assert got == {(g, i) for g in ("a", "b") for i in range(0, 15, 2)} | {("c", 1)}
+
+
 def test_option_quality(spark):
     chunk = "the cache keeps recent pages in memory for the reader"
     good = {"A": "recent pages in memory", "B": "stars and moons", "C": "bread with flour", "D": "winter sports in snow"}
