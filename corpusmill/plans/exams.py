@@ -79,9 +79,9 @@ def take_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster labels of all vectors, the best of three restarts."""
+    """Cluster labels of all vectors, the best of ten restarts."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return exam.kmeans_labels(rows, 10, 3)
+    return exam.kmeans_labels(rows, 10)
 
 
 @query()

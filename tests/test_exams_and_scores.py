@@ -59,6 +59,18 @@ def test_kmeans_separates(spark):
     assert 99 not in got and all(len({got[i] for i in range(a, a + 20)}) == 1 for a in (0, 20, 40)) and len(set(got.values())) == 3
 
 
+def test_registered_kmeans_has_all_restarts(spark, monkeypatch, tmp_path):
+    from corpusmill.plans.catalog import QUERIES
+
+    starts, plain = [], exam.KMeans
+    monkeypatch.setattr(exam, "KMeans", lambda **kw: starts.append(kw["seed"]) or plain(**kw))
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(z) for z in v]) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["kmeans_assign"](spark, str(tmp_path)).count() == 40
+    assert len(set(starts)) == 10
+
+
 def test_greedy_walk(spark):
     rng = np.random.default_rng(1)
     data = []
