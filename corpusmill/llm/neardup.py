@@ -4,7 +4,7 @@ The content of a record is its bag of words.  Equal bags are one class and are s
 Improved consistent weighted sampling draws, for each of ``BANDS * ROWS`` functions, the word
 and weight level with which two bags agree with the probability of their TF-IDF weighted
 Jaccard similarity.  Classes that agree in all rows of a band are candidates when their sizes
-and a 64-bit sketch of each bag, both carried beside the band key, allow the similarity; only
+and a 128-bit sketch of each bag, both carried beside the band key, allow the similarity; only
 these are compared word by word.  The sketch never loses a pair: every word that one bag has and
 the other has not flips one bit, so two sketches differ in at most as many bits as the bags in words.
 Single words are sampled, not longer shingles: the similarity to be found is defined over bags,
@@ -112,16 +112,17 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return freq.reshape(2, -1)
 
 
-def _sketches(hashes: np.ndarray, times: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64 parity bits of each bag over its words, of which the k-th of equal ones is a word of its own."""
+def _sketches(hashes: np.ndarray, times: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """128 parity bits of each bag, in two halves, over its words, of which the k-th of equal ones is a word of its own."""
     k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     one = mix(np.repeat(hashes, times) ^ mix(k.astype(np.uint64)))
     first = np.concatenate([[0], np.cumsum(times)])[start]
-    return np.bitwise_xor.reduceat(np.uint64(1) << (one & np.uint64(63)), first)
+    bit, low = np.uint64(1) << (one & np.uint64(63)), (one >> np.uint64(6)) & np.uint64(1) == 0
+    return [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first) for half in (low, ~low)]
 
 
 def _cells(n: int, frequencies: np.ndarray, spark, bands: int, rows: int):
-    """The function that draws the band cells ``key, cls, size, sketch`` of Arrow batches ``cls, bag, at``."""
+    """The function that draws the band cells ``key, cls, size, low, high`` of Arrow batches ``cls, bag, at``."""
     idf = np.log1p(n / np.maximum(frequencies, 1)).astype(np.float32)
     # a collision can only raise a count, so the larger weight of the two rows is the better one
     ship = spark.sparkContext.broadcast(idf)
@@ -147,28 +148,29 @@ def _cells(n: int, frequencies: np.ndarray, spark, bands: int, rows: int):
                     lo, hi = start[z], start[z + 128] if z + 128 < len(start) else len(word)
                     keys.append(sampler.keys(word[lo:hi], times[lo:hi] * weight[word[lo:hi]], start[z : z + 128] - lo, rows))
                 size = np.add.reduceat(times, start)
-                sketch = _sketches(hashes[word], times, start)
+                low, high = _sketches(hashes[word], times, start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), bands)),
-                     pa.array(np.repeat(size.astype(np.int32), bands)), pa.array(np.repeat(sketch.view(np.int64), bands))],
-                    ["key", "cls", "size", "sketch"],
+                     pa.array(np.repeat(size.astype(np.int32), bands)), pa.array(np.repeat(low.view(np.int64), bands)), pa.array(np.repeat(high.view(np.int64), bands))],
+                    ["key", "cls", "size", "low", "high"],
                 )
 
     return draw
 
 
-def _may(size_a, size_b, sketch_a, sketch_b, least: float) -> np.ndarray:
+def _may(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
     """Whether bags of these sizes and sketches can reach the similarity; true for every pair that does."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    apart = np.bitwise_count((sketch_a ^ sketch_b).view(np.uint64))  # of signed numbers it would count the absolute value
-    return (small >= least * large - 1e-9) & (apart * (1 + least) <= (size_a + size_b) * (1 - least) + 1e-9)
+    small, large = np.minimum(a[0], b[0]), np.maximum(a[0], b[0])
+    # of signed numbers the bits of the absolute value would be counted
+    apart = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int32) for x, y in zip(a[1:], b[1:]))
+    return (small >= least * large - 1e-9) & (apart * (1 + least) <= (a[0] + b[0]) * (1 - least) + 1e-9)
 
 
 def _near_runs(least: float):
-    """The function that compares the classes of each key in batches ``key, cls, size, sketch`` sorted by key."""
+    """The function that compares the classes of each key in batches ``key, cls, size, low, high`` sorted by key."""
 
     def compare(t: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, cls, size, sketch = t
+        key, cls, *bag = t
         last = np.searchsorted(key, key, side="right")
         at = np.arange(len(key))
         out: list[np.ndarray] = []
@@ -177,7 +179,7 @@ def _near_runs(least: float):
             d += 1
             at = at[at + d < last[at]]
             b = at + d
-            ok = _may(size[at], size[b], sketch[at], sketch[b], least)
+            ok = _may([x[at] for x in bag], [x[b] for x in bag], least)
             out.append(np.stack([cls[at[ok]], cls[b[ok]]]))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return both.min(axis=0), both.max(axis=0)
@@ -186,7 +188,7 @@ def _near_runs(least: float):
         held = None
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
                 # the last key may go on in the next batch; a key has at most BLOCK rows here
                 cut = np.searchsorted(held[0], held[0][-1], side="left") if len(held[0]) else 0
@@ -222,7 +224,7 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_cols: tuple[str, ...
     some = classes.filter("bag <> ''")
     at = F.flatten(F.transform(F.array_distinct(F.split("bag", " ")), lambda w: F.array(*_counters(w))))
     draw = _cells(max(some.count(), 1), _frequencies(some), spark, bands, rows)
-    cells = written(some.select("cls", "bag", at.cast("array<int>").alias("at")).mapInArrow(draw, "key long, cls long, size int, sketch long"), "cells")
+    cells = written(some.select("cls", "bag", at.cast("array<int>").alias("at")).mapInArrow(draw, "key long, cls long, size int, low long, high long"), "cells")
     hot = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "hot")
     few = hot.count()
     usual = cells.join(maybe_broadcast(hot.select("key"), few, 16), "key", "left_anti") if few else cells
@@ -263,16 +265,16 @@ def _in_blocks(hot: DataFrame, least: float) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = hot.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "cls", "size", "sketch")
+    rows = rows.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "cls", "size", "low", "high")
 
     def compare(t: pa.Table) -> pa.Table:
-        mine, cls, size, sketch = (t.column(c).to_numpy() for c in ("mine", "cls", "size", "sketch"))
+        mine, cls, size, sketch = (t.column(c).to_numpy() for c in ("mine", "cls", "size", "low", "high"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(left), 256):
             at = left[a : a + 256]
-            r, c = np.nonzero(_may(size[at][:, None], size[right][None, :], sketch[at][:, None], sketch[right][None, :], least))
+            r, c = np.nonzero(_may([x[at][:, None] for x in bag], [x[right][None, :] for x in bag], least))
             x.append(cls[at[r]]), y.append(cls[right[c]])
         p, q = np.concatenate(x), np.concatenate(y)
         keep = p < q if i == j else p != q
