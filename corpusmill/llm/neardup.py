@@ -268,7 +268,7 @@ def _in_blocks(hot: DataFrame, least: float) -> DataFrame:
     rows = rows.select("key", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "cls", "size", "low", "high")
 
     def compare(t: pa.Table) -> pa.Table:
-        mine, cls, size, sketch = (t.column(c).to_numpy() for c in ("mine", "cls", "size", "low", "high"))
+        mine, cls, *bag = (t.column(c).to_numpy() for c in ("mine", "cls", "size", "low", "high"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

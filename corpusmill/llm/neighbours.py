@@ -2,13 +2,16 @@
 
 A bounded sample gives a neighbour graph, which is split into balanced parts with few cut
 edges; a small network learns to predict, from a vector, the parts its neighbours lie in.
-Every vector is indexed in its most probable part and searched in as many of its most
-probable parts as cover ``COVER`` of the probability; the candidates are ranked by their
-exact cosine.
+Parts that still hold many rows are partitioned again, each by a graph and a network of its
+own, fitted in a task on a bounded sample of the part.  Every vector is indexed in its most
+probable part and searched in as many of its most probable parts as cover ``COVER`` of the
+probability; the candidates are ranked by their exact cosine.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import written
+from corpusmill.runtime import maybe_broadcast, ship_package, written
 
 from .vectors import DIM, as_list, usable
 
@@ -24,10 +27,14 @@ from .vectors import DIM, as_list, usable
 SAMPLE = 8192
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
-#: Indexed rows a part should hold, and the most parts (32 sampled rows each).
+#: Indexed rows a part should hold, and the most parts of one network (32 sampled rows each).
 PART_ROWS = 2048
 MAX_PARTS = SAMPLE // 32
-#: Probability that the searched parts of a query cover, and the fewest parts searched.
+#: Parts of more than this many times ``PART_ROWS`` rows are partitioned again.
+SPLIT_OVER = 2
+#: Networks of parts that are broadcast at once (about 165 kB each); more take further passes.
+NETWORKS = 256
+#: Probability that the searched parts of a query cover, on each level, and the fewest parts searched.
 COVER = 0.97
 LEAST_PROBES = 2
 #: Rows of one side that a task compares at once; larger parts are split into blocks.
@@ -134,10 +141,9 @@ def fitted(x: np.ndarray, part: np.ndarray, near: np.ndarray, parts: int, hidden
     return Router(*p)
 
 
-def _model(units: DataFrame, n: int, dim: int) -> tuple[Router, int]:
-    share = int(2**30 * min(1.0, SAMPLE / max(n, 1)))
-    rows = units.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2**30)) < share).orderBy("id").select("u").toPandas()
-    x = np.array(rows["u"].tolist(), dtype=np.float32).reshape(-1, dim)
+def _trained(x: np.ndarray, n: int) -> tuple[Router, int]:
+    """The router of ``n`` rows of which ``x`` is a sample, and its number of parts."""
+    dim = x.shape[1]
     parts = 1
     while parts * PART_ROWS < n and parts < MAX_PARTS and parts * 32 <= len(x):
         parts *= 2
@@ -147,6 +153,101 @@ def _model(units: DataFrame, n: int, dim: int) -> tuple[Router, int]:
     return fitted(x, partition(x, near, parts), near, parts), parts
 
 
+def _model(units: DataFrame, n: int, dim: int) -> Router:
+    share = int(2**30 * min(1.0, SAMPLE / max(n, 1)))
+    rows = units.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2**30)) < share).orderBy("id").select("u").toPandas()
+    return _trained(np.array(rows["u"].tolist(), dtype=np.float32).reshape(-1, dim), n)[0]
+
+
+class Probes:
+    """The parts a batch of rows is indexed and searched in: rows, parts, probabilities, and whether it is the row's own part."""
+
+    def __init__(self, row: np.ndarray, part: np.ndarray, p: np.ndarray, own: np.ndarray) -> None:
+        self.row, self.part, self.p, self.own = row, part, p, own
+
+    @staticmethod
+    def first(net: Router, x: np.ndarray, asks: np.ndarray) -> Probes:
+        """The probes of the first level: for rows that ask the parts that cover ``COVER``, for all the most probable one."""
+        p = net.probabilities(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_p = np.take_along_axis(p, order, 1)
+        probe = (np.cumsum(sorted_p, axis=1) - sorted_p < COVER) | (np.arange(p.shape[1]) < LEAST_PROBES)[None, :]
+        probe[~asks, 1:] = False
+        row, place = np.nonzero(probe)
+        return Probes(row, order[row, place].astype(np.int64), sorted_p[row, place], place == 0)
+
+    def divided(self, nets: dict[int, Router], x: np.ndarray, asks: np.ndarray, level: int) -> Probes:
+        """The probes after the parts of ``nets`` are partitioned again; a row's probes cover ``COVER`` of those it has."""
+        row, part, p, own = [], [], [], []
+        split = np.isin(self.part, list(nets))
+        for g in np.unique(self.part[split]):
+            at = np.flatnonzero(self.part == g)
+            q = nets[int(g)].probabilities(x[self.row[at]])
+            best = q.argmax(axis=1)
+            # what is less than a thousandth of a row's probability is never needed for its cover
+            r, c = np.nonzero((q * self.p[at][:, None] > 1e-3) | (np.arange(q.shape[1])[None, :] == best[:, None]))
+            row.append(self.row[at[r]]), part.append(self.part[at[r]] + (c + 1) * MAX_PARTS**level * 2)
+            p.append(q[r, c] * self.p[at[r]]), own.append(self.own[at[r]] & (c == best[r]))
+        row, part, p, own = (np.concatenate([getattr(self, k)[~split], *v]) for k, v in (("row", row), ("part", part), ("p", p), ("own", own)))
+        order = np.lexsort((part, -p, row))
+        row, part, p, own = row[order], part[order], p[order], own[order]
+        first = np.searchsorted(row, row, side="left")
+        total = np.bincount(row, p, minlength=len(x))[row] if len(row) else p
+        before = np.concatenate([[0.0], np.cumsum(p)])[:-1]
+        before = before - before[first] if len(row) else before
+        keep = own | (asks[row] & ((before < COVER * total) | (np.arange(len(row)) - first < LEAST_PROBES)))
+        return Probes(row[keep], part[keep], p[keep], own[keep])
+
+
+def _probe(nets: list, x: np.ndarray, asks: np.ndarray) -> Probes:
+    found = Probes.first(nets[0], x, asks)
+    for level, more in enumerate(nets[1:], 1):
+        found = found.divided(more, x, asks, level)
+    return found
+
+
+def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int) -> tuple[list, dict[int, tuple[int, int]]]:
+    """The networks, one of the first level and dictionaries by part of the further ones, and the rows of each part, indexed and asking.
+
+    Each further level multiplies the parts by up to ``MAX_PARTS``; two hold 134 million vectors in parts near
+    ``PART_ROWS``.  A level of more than ``NETWORKS`` networks is not built: its parts stay and are compared in blocks.
+    """
+    nets: list = [_model(units, n, dim)]
+    spark = units.sparkSession
+    while True:
+        ship = spark.sparkContext.broadcast(nets)
+        sizes = {r["part"]: (r["n"], r["m"]) for r in _sizes(wanted, ship, dim)}
+        large = {p: own for p, (own, _) in sizes.items() if own > SPLIT_OVER * PART_ROWS}
+        if not large or len(large) > NETWORKS:
+            return nets, sizes
+
+        def sampled(batches: Iterator[pa.RecordBatch], ship=ship, large=large) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                found = _probe(ship.value, x, np.zeros(len(x), bool))
+                size = np.array([large.get(int(g), 0) for g in found.part], np.float64)
+                dice = b.column(0).to_numpy()[found.row] < np.minimum(SAMPLE / np.maximum(size, 1), 1) * 2**30
+                at = np.flatnonzero((size > 0) & dice)
+                yield pa.RecordBatch.from_arrays([pa.array(found.part[at]), b.column(0).take(pa.array(found.row[at])), as_list(x[found.row[at]])], ["part", "dice", "u"])
+
+        sized = large
+
+        def fit(t: pa.Table) -> pa.Table:
+            g = t.column("part")[0].as_py()
+            x = t.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = x[np.lexsort((x[:, 1], x[:, 0], t.column("dice").to_numpy()))]
+            net, parts = _trained(x, sized[g])
+            return pa.table({"part": [g] if parts > 1 else [], "net": pa.array([pickle.dumps(net)] if parts > 1 else [], pa.binary())}, schema=pa.schema([("part", pa.int64()), ("net", pa.binary())]))
+
+        dice = F.pmod(F.xxhash64("id", F.lit(11 + len(nets))), F.lit(2**30)).alias("dice")
+        # at most NETWORKS groups of about SAMPLE rows each, and as many networks
+        made = units.select(dice, "u").mapInArrow(sampled, "part long, dice long, u array<float>").groupBy("part").applyInArrow(fit, "part long, net binary").toArrow()
+        more = {g: pickle.loads(blob) for g, blob in zip(made.column("part").to_pylist(), made.column("net").to_pylist())}
+        if not more:
+            return nets, sizes
+        nets = [*nets, more]
+
+
 def nearest(
     df: DataFrame, k: int = 10, least_cos: float | None = None, queries: str | None = None,
     id_col: str = "id", vec_col: str = "vector", dim: int = DIM,
@@ -162,9 +263,9 @@ def nearest(
     its neighbours, which is what exact search with these ties gives; a table with a single usable id gives no rows.
     """
     spark = df.sparkSession
+    ship_package(spark)
     units = written(usable(df, id_col, vec_col, dim), "units")
     n = units.count()
-    router, parts = _model(units, n, dim)
     kind = units.schema["id"].dataType.simpleString()
 
     big = units.select(F.xxhash64("u").alias("h")).groupBy("h").count().filter(F.col("count") > k + 1).select("h")
@@ -181,36 +282,28 @@ def nearest(
         if queries:
             rest = rest.filter(queries)
 
-    ship = spark.sparkContext.broadcast(router)
     wanted = units.withColumn("q", F.expr(queries).cast("boolean") if queries else F.lit(True))
+    nets, sizes = _levels(units, wanted, n, dim)
+    ship = spark.sparkContext.broadcast(nets)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = ship.value
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             if not len(x):
                 continue
-            p = net.probabilities(x)
-            order = np.argsort(-p, axis=1, kind="stable")
-            before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-            probe = (before < COVER) | (np.arange(p.shape[1]) < LEAST_PROBES)[None, :]
-            asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            probe[~asks, 1:] = False
-            row, place = np.nonzero(probe)
-            at = pa.array(row)
+            found = _probe(ship.value, x, b.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            at = pa.array(found.row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order[row, place].astype(np.int32)), pa.array(place == 0), b.column(2).take(at), b.column(0).take(at), as_list(x[row])],
+                [pa.array(found.part), pa.array(found.own), b.column(2).take(at), b.column(0).take(at), as_list(x[found.row])],
                 ["part", "own", "q", "id", "u"],
             )
 
-    routed = wanted.select("id", "u", "q").mapInArrow(route, f"part int, own boolean, q boolean, id {kind}, u array<float>")
-    sizes = {r["part"]: (r["n"], r["m"]) for r in _sizes(wanted, ship, kind, dim)}
-    # blocks of hot parts: index blocks by query blocks, at most parts entries
-    grid = {p: (-(-a // BLOCK), -(-b // (4 * BLOCK))) for p, (a, b) in sizes.items() if a > BLOCK or b > 4 * BLOCK}
+    routed = wanted.select("id", "u", "q").mapInArrow(route, f"part long, own boolean, q boolean, id {kind}, u array<float>")
+    # hot parts are compared in blocks, index blocks by query blocks
+    grid = [(p, -(-a // BLOCK), -(-b // (4 * BLOCK))) for p, (a, b) in sizes.items() if a > BLOCK or b > 4 * BLOCK]
     if grid:
-        ib = F.coalesce(F.element_at(F.create_map(*[F.lit(z) for p, (i, _) in grid.items() for z in (p, i)]), F.col("part")), F.lit(1))
-        qb = F.coalesce(F.element_at(F.create_map(*[F.lit(z) for p, (_, j) in grid.items() for z in (p, j)]), F.col("part")), F.lit(1))
-        routed = routed.withColumn("ib", ib).withColumn("qb", qb)
+        blocks = maybe_broadcast(spark.createDataFrame(grid, "part long, ib int, qb int"), len(grid), 24)
+        routed = routed.join(blocks, "part", "left").na.fill(1, ["ib", "qb"])
         my_i = F.pmod(F.xxhash64("id"), F.col("ib"))
         my_q = F.pmod(F.xxhash64("id", F.lit(5)), F.col("qb"))
         as_index = routed.filter("own").withColumn("q", F.lit(False)).withColumn("bi", my_i).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
@@ -265,31 +358,25 @@ def nearest(
     return ranked
 
 
-def _sizes(wanted: DataFrame, ship: object, kind: str, dim: int) -> list:
+def _sizes(wanted: DataFrame, ship: object, dim: int) -> list:
     """Indexed and asking rows of each part; at most as many rows as parts and tasks, summed again by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = ship.value
-        n = m = None
+        total: Counter = Counter()
+        asking: Counter = Counter()
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             if not len(x):
                 continue
-            p = net.probabilities(x)
-            if n is None:
-                n, m = np.zeros(p.shape[1], np.int64), np.zeros(p.shape[1], np.int64)
-            top = np.sort(p, axis=1)[:, ::-1]
-            order = np.argsort(-p, axis=1, kind="stable")
-            probe = (np.cumsum(top, axis=1) - top < COVER) | (np.arange(p.shape[1]) < LEAST_PROBES)[None, :]
             asks = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            np.add.at(n, order[:, 0], 1)
-            probe[~asks] = False
-            r, c = np.nonzero(probe)
-            np.add.at(m, order[r, c], 1)
-        if n is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(m)], ["part", "n", "m"])
-
-    return wanted.select("u", "q").mapInArrow(count, "part int, n long, m long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+            found = _probe(ship.value, x, asks)
+            for into, rows in ((total, found.own), (asking, asks[found.row])):
+                part, n = np.unique(found.part[rows], return_counts=True)
+                into.update(dict(zip(part.tolist(), n.tolist())))
+        keys = list(total | asking)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k] for k in keys], pa.int64()), pa.array([asking[k] for k in keys], pa.int64())], ["part", "n", "m"])
+
+    return wanted.select("u", "q").mapInArrow(count, "part long, n long, m long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
 
 
 def close_pairs(df: DataFrame, least_cos: float = 0.9, k: int = 10, id_col: str = "id", vec_col: str = "vector", dim: int = DIM) -> DataFrame:
