@@ -141,11 +141,11 @@ def fitted(x: np.ndarray, part: np.ndarray, near: np.ndarray, parts: int, hidden
     return Router(*p)
 
 
-def _trained(x: np.ndarray, n: int) -> tuple[Router, int]:
+def _trained(x: np.ndarray, n: int, part_rows: int, most: int) -> tuple[Router, int]:
     """The router of ``n`` rows of which ``x`` is a sample, and its number of parts."""
     dim = x.shape[1]
     parts = 1
-    while parts * PART_ROWS < n and parts < MAX_PARTS and parts * 32 <= len(x):
+    while parts * part_rows < n and parts < most and parts * 32 <= len(x):
         parts *= 2
     if parts == 1:
         return Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)), 1
@@ -153,10 +153,10 @@ def _trained(x: np.ndarray, n: int) -> tuple[Router, int]:
     return fitted(x, partition(x, near, parts), near, parts), parts
 
 
-def _model(units: DataFrame, n: int, dim: int) -> Router:
-    share = int(2**30 * min(1.0, SAMPLE / max(n, 1)))
+def _model(units: DataFrame, n: int, dim: int, part_rows: int, sample: int) -> Router:
+    share = int(2**30 * min(1.0, sample / max(n, 1)))
     rows = units.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2**30)) < share).orderBy("id").select("u").toPandas()
-    return _trained(np.array(rows["u"].tolist(), dtype=np.float32).reshape(-1, dim), n)[0]
+    return _trained(np.array(rows["u"].tolist(), dtype=np.float32).reshape(-1, dim), n, part_rows, sample // 32)[0]
 
 
 class Probes:
@@ -206,18 +206,18 @@ def _probe(nets: list, x: np.ndarray, asks: np.ndarray) -> Probes:
     return found
 
 
-def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int) -> tuple[list, dict[int, tuple[int, int]]]:
+def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int, part_rows: int, sample: int) -> tuple[list, dict[int, tuple[int, int]]]:
     """The networks, one of the first level and dictionaries by part of the further ones, and the rows of each part, indexed and asking.
 
     Each further level multiplies the parts by up to ``MAX_PARTS``; two hold 134 million vectors in parts near
     ``PART_ROWS``.  A level of more than ``NETWORKS`` networks is not built: its parts stay and are compared in blocks.
     """
-    nets: list = [_model(units, n, dim)]
+    nets: list = [_model(units, n, dim, part_rows, sample)]
     spark = units.sparkSession
     while True:
         ship = spark.sparkContext.broadcast(nets)
         sizes = {r["part"]: (r["n"], r["m"]) for r in _sizes(wanted, ship, dim)}
-        large = {p: own for p, (own, _) in sizes.items() if own > SPLIT_OVER * PART_ROWS}
+        large = {p: own for p, (own, _) in sizes.items() if own > SPLIT_OVER * part_rows}
         if not large or len(large) > NETWORKS:
             return nets, sizes
 
@@ -226,7 +226,7 @@ def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int) -> tuple[list
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 found = _probe(ship.value, x, np.zeros(len(x), bool))
                 size = np.array([large.get(int(g), 0) for g in found.part], np.float64)
-                dice = b.column(0).to_numpy()[found.row] < np.minimum(SAMPLE / np.maximum(size, 1), 1) * 2**30
+                dice = b.column(0).to_numpy()[found.row] < np.minimum(sample / np.maximum(size, 1), 1) * 2**30
                 at = np.flatnonzero((size > 0) & dice)
                 yield pa.RecordBatch.from_arrays([pa.array(found.part[at]), b.column(0).take(pa.array(found.row[at])), as_list(x[found.row[at]])], ["part", "dice", "u"])
 
@@ -236,7 +236,7 @@ def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int) -> tuple[list
             g = t.column("part")[0].as_py()
             x = t.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             x = x[np.lexsort((x[:, 1], x[:, 0], t.column("dice").to_numpy()))]
-            net, parts = _trained(x, sized[g])
+            net, parts = _trained(x, sized[g], part_rows, sample // 32)
             return pa.table({"part": [g] if parts > 1 else [], "net": pa.array([pickle.dumps(net)] if parts > 1 else [], pa.binary())}, schema=pa.schema([("part", pa.int64()), ("net", pa.binary())]))
 
         dice = F.pmod(F.xxhash64("id", F.lit(11 + len(nets))), F.lit(2**30)).alias("dice")
@@ -250,12 +250,13 @@ def _levels(units: DataFrame, wanted: DataFrame, n: int, dim: int) -> tuple[list
 
 def nearest(
     df: DataFrame, k: int = 10, least_cos: float | None = None, queries: str | None = None,
-    id_col: str = "id", vec_col: str = "vector", dim: int = DIM,
+    id_col: str = "id", vec_col: str = "vector", dim: int = DIM, part_rows: int = PART_ROWS, sample: int = SAMPLE,
 ) -> DataFrame:
     """``id, other, cos, rank``: the ``k`` most similar other ids of every id (or of those for which the SQL condition ``queries`` on ``id`` holds).
 
     With ``least_cos`` only neighbours of at least that cosine are returned; they are still
-    among the ``k`` most similar.
+    among the ``k`` most similar.  ``sample`` bounds the rows a network is fitted on, at most
+    ``SAMPLE``; every row is indexed.
 
     Defined results: unusable vectors and null ids are neither searched nor found; repeated rows
     count once; equal cosines are ranked by id; of a vector shared by more than k + 1 ids, the
@@ -283,7 +284,7 @@ def nearest(
             rest = rest.filter(queries)
 
     wanted = units.withColumn("q", F.expr(queries).cast("boolean") if queries else F.lit(True))
-    nets, sizes = _levels(units, wanted, n, dim)
+    nets, sizes = _levels(units, wanted, n, dim, part_rows, sample)
     ship = spark.sparkContext.broadcast(nets)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

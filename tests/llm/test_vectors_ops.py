@@ -175,16 +175,13 @@ def test_recall_with_learned_partitions(spark, monkeypatch):
 
 
 def test_large_parts_are_partitioned_again(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SAMPLE", 512)
-    monkeypatch.setattr(neighbours, "MAX_PARTS", 16)
-    monkeypatch.setattr(neighbours, "PART_ROWS", 64)
     seen = []
     sizes = neighbours._sizes
     monkeypatch.setattr(neighbours, "_sizes", lambda *a: seen.append(sizes(*a)) or seen[-1])
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64)) * 0.4
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
-    got = neighbours.nearest(df, 10, queries="id % 50 = 0").select("id", "other").toPandas()
+    got = neighbours.nearest(df, 10, queries="id % 50 = 0", part_rows=64, sample=512).select("id", "other").toPandas()
     assert len(seen) >= 2 and max(r["n"] for r in seen[-1]) < max(r["n"] for r in seen[0]) and len(seen[-1]) > 16
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = 0
