@@ -2,8 +2,9 @@
 
 The five-word n-grams of the items are the seeds.  A first pass over the documents counts in
 how many documents each seed occurs; seeds in few documents are rare.  A second pass looks up
-each document's n-grams in the seeds, takes the (document, item) pairs with enough seeds
-near one diagonal as candidates and aligns the item's words with that stretch of the document.
+each document's n-grams in the seeds, takes the (document, item) pairs with a rare seed, or with
+several seeds near one diagonal, as candidates and aligns the item's words with that stretch of
+the document.  Items of fewer words than a seed are looked up whole, each by the hash of all its words.
 Both passes stream the documents; the only shuffle is the seed count.  Items are taken in
 slices of bounded size, so what is broadcast is bounded however many items there are.
 """
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import ship_package
+
 from .neardup import mix, word_hashes
 
 #: Words of a seed.
@@ -26,7 +29,8 @@ GRAM = 5
 #: A seed is rare when it occurs in at most this share of the documents (or in RARE_LEAST documents).
 RARE_SHARE, RARE_LEAST = 0.004, 20
 #: Seeds near one diagonal that make a candidate: rare ones, or any (for items that leaked into many documents).
-RARE_SEEDS, ANY_SEEDS = 2, 5
+#: Items so short that two fifths of them hold no more seeds need a single one.
+RARE_SEEDS, ANY_SEEDS = 1, 2
 #: Words by which the diagonals of one stretch may differ.
 DRIFT = 12
 #: Least alignment score as a share of the item's words (match 1, changed, missing or added word -1).
@@ -60,14 +64,14 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def _grams(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
     """Hash of the n-gram that starts at each word (the last ones run over the end)."""
-    n = len(codes) - GRAM + 1
+    n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(GRAM):
+        for j in range(size):
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
     return mix(h)
 
@@ -79,11 +83,14 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         self.ids, self.codes, h, own, pos = [], [], [], [], []
+        self.whole: dict[int, dict[int, list[int]]] = {}
         for i, text in items:
             c = _codes(_words(text))
             if not len(c):
                 continue
             g = _grams(c)
+            if len(c) < GRAM:
+                self.whole.setdefault(len(c), {}).setdefault(int(_grams(c, len(c))[0]), []).append(len(self.ids))
             h.append(g)
             own.append(np.full(len(g), len(self.ids)))
             pos.append(np.arange(len(g)))
@@ -96,11 +103,15 @@ class Seeds:
         self.unique, self.first = np.unique(self.hash, return_index=True)
         self.last = np.append(self.first[1:], len(self.hash))
         self.rare = np.ones(len(self.unique), bool)
+        # two fifths of an item of eleven or twelve words hold one seed, of fewer words none
+        self.short = np.array([len(c) <= 12 for c in self.codes], bool)
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[(self.unique & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the n-grams that are seeds, and the seeds' numbers."""
+        if not len(self.unique):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.table[(grams & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
         if not len(at):
             return at, at
@@ -164,7 +175,7 @@ def _candidates(seeds: Seeds, at: np.ndarray, k: np.ndarray, doc: np.ndarray, st
     total = end - np.arange(len(base))
     sums = np.concatenate([[0], np.cumsum(rare)])
     rares = sums[end] - sums[:-1]
-    ok = (rares >= RARE_SEEDS) | (total >= ANY_SEEDS)
+    ok = (rares >= RARE_SEEDS) | (total >= ANY_SEEDS) | seeds.short[item]
     # the best stretch of each document and item, and further ones that lie apart from it
     key = np.flatnonzero(ok)
     key = key[np.lexsort((key, -(total[key] + rares[key]), item[key], d[key]))]
@@ -185,6 +196,20 @@ def _candidates(seeds: Seeds, at: np.ndarray, k: np.ndarray, doc: np.ndarray, st
     return d[c], item[c], diag[c]
 
 
+def _whole(seeds: Seeds, codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) of the short items that occur whole."""
+    d, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, known in seeds.whole.items():
+        grams = _grams(codes, size)
+        at = np.flatnonzero(np.isin(grams, np.array(list(known), np.uint64)))
+        doc = np.searchsorted(start, at, side="right") - 1
+        inside = at + size <= start[doc + 1]
+        for g, k in zip(grams[at[inside]].tolist(), doc[inside].tolist()):
+            d.append(np.full(len(known[g]), k)), item.append(np.array(known[g]))
+    both = np.unique(np.stack([np.concatenate(d), np.concatenate(item)]), axis=1)
+    return both[0], both[1]
+
+
 def _scores(seeds: Seeds, codes: np.ndarray, start: np.ndarray, d: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
     sizes = np.array([len(seeds.codes[i]) for i in item], np.int64)
     out = np.zeros(len(d), np.int64)
@@ -231,11 +256,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ``share`` is the score over the item's number of words.  Letter case, punctuation, white space
     and invisible characters do not count.
 
-    Defined results: null and blank texts and items of fewer than five words match nothing; a null id
+    Defined results: null and blank texts match nothing; a stretch of fewer than five words counts only when
+    it is a whole item (two fifths of an item of up to ten words are fewer than a seed); a null id
     is kept as an id of its own; repeated rows give one row; of several stretches in one document the
     best score counts; whole texts are read, however long; extra columns are ignored.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     kind, ikind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     slim = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).filter(F.col("text").isNotNull())
     test = items.select(items[item_col].alias("item"), items[item_text].alias("text")).filter(F.col("text").isNotNull()).distinct().orderBy("item", "text")
@@ -273,13 +300,15 @@ def _leaks_of(spark, slim: DataFrame, seeds: Seeds, kind: str, ikind: str) -> Da
         sizes = np.array([len(c) for c in s.codes], np.int64)
         names = pa.array(s.ids)
         for b in batches:
-            if not len(s.unique):
+            if not len(s.ids):
                 continue
             codes, start, at, k, doc = _hits(b.column(1).to_pylist(), s)
             d, item, diag = _candidates(s, at, k, doc, start)
+            score = _scores(s, codes, start, d, item, diag)
+            dw, iw = _whole(s, codes, start)
+            d, item, score = np.concatenate([d, dw]), np.concatenate([item, iw]), np.concatenate([score, sizes[iw]])
             if not len(d):
                 continue
-            score = _scores(s, codes, start, d, item, diag)
             share = score / sizes[item]
             ok = np.flatnonzero(share >= LEAST_SCORE)
             yield pa.RecordBatch.from_arrays(

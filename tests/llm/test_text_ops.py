@@ -53,6 +53,19 @@ def test_cut_texts_of_nothing_and_long(spark):
 # ---- leaks
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(9)
+    noise = [f"n{i}" for i in range(400)]
+    filler = lambda n: " ".join(rng.choice(noise) for _ in range(n))
+    three, five, twelve, fifty = "quick brown fox", "one two three four five", " ".join(f"t{i}" for i in range(12)), " ".join(f"f{i}" for i in range(50))
+    edited = " ".join("x" if i % 6 == 5 else f"f{i}" for i in range(6, 35))
+    items = [(1, three), (2, five), (3, twelve), (4, fifty), (5, None), (6, "")]
+    docs = [(1, filler(30) + " Quick, brown FOX " + filler(9)), (2, filler(8) + " " + five), (3, filler(30) + " t4 t5 t6 t7 t8 " + filler(30)), (4, filler(20) + " " + edited + " " + filler(20)),
+            (5, filler(40) + " quick brown"), (6, filler(20) + " one two three four"), (7, filler(9) + " t4 t5 t6 t7 " + filler(9)), (8, None)]
+    got = leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_leaks(spark):
     rng = random.Random(3)
     vocab = [f"{a}{b}{c}" for a in ("ba", "ke", "lo", "mi") for b in ("ro", "ta", "si", "ne", "du") for c in ("x", "n", "l", "m", "p", "k")]
