@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import table
+from corpusmill.runtime import table, written
 
 from . import clusters, cutoff, leak, mixing, neardup, neighbours, pairs
 
 
+#: Rank file of a public byte-level BPE vocabulary, where ``spark.corpusmill.tokenizer`` names no other.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _tokenizer(spark: SparkSession) -> str:
+    return spark.conf.get("spark.corpusmill.tokenizer", TOKENIZER)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with their cluster, named by its smallest id."""
     return clusters.named(clusters.clusters(table(spark, sf_dir, "index_row", wide=True))).select("id", "group_id")
@@ -83,19 +91,19 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of source_target that cannot reach their target."""
-    sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents", wide=True))
+    sizes = mixing.sizes_by_source(table(spark, sf_dir, "documents", wide=True), _tokenizer(spark))
     return mixing.plan(sizes, table(spark, sf_dir, "source_target")).filter("short").select("source")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share, passes and records of each source in the mix."""
-    return mixing.report(table(spark, sf_dir, "documents", wide=True), table(spark, sf_dir, "source_target"))
+    return mixing.report(table(spark, sf_dir, "documents", wide=True), table(spark, sf_dir, "source_target"), _tokenizer(spark))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
     docs = table(spark, sf_dir, "documents", wide=True)
-    passes = mixing.plan(mixing.sizes_by_source(docs), table(spark, sf_dir, "source_target"))
+    passes = written(mixing.plan(mixing.sizes_by_source(docs, _tokenizer(spark)), table(spark, sf_dir, "source_target")), "passes")
     return mixing.mixed(docs.select("doc_id", "source"), passes)
 
 

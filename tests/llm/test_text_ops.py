@@ -5,6 +5,7 @@ import random
 import pytest
 
 from corpusmill.llm import cutoff, leak, mixing, neardup, pairs
+from corpusmill.llm.queries import TOKENIZER
 
 WORDS = "river table lamp stone quiet green window morning paper engine silver market garden winter letter music bridge forest button candle".split()
 
@@ -155,15 +156,15 @@ def test_water_filling(spark, seed):
 def test_mix_repeats_whole_and_in_part(spark):
     docs = spark.createDataFrame([(i, "word " * 10, "a" if i < 100 else "b", 3) for i in range(1000)] + [(5000, None, "b", 1), (5001, "x", None, 1)], "doc_id bigint, text string, source string, size int")
     targets = spark.createDataFrame([("a", 0.25, 4), ("b", 0.75, 2), ("gone", 0.0, 1)], "source string, target_share double, max_repeat int")
-    rep = {r["source"]: r for r in mixing.report(docs, targets).collect()}
+    rep = {r["source"]: r for r in mixing.report(docs, targets, TOKENIZER).collect()}
     assert rep["a"]["actual_share"] == pytest.approx(0.25, abs=0.02) and rep["gone"]["records"] == 0
-    passes = mixing.plan(mixing.sizes_by_source(docs), targets)
+    passes = mixing.plan(mixing.sizes_by_source(docs, TOKENIZER), targets)
     one, two = ({(r["doc_id"], r["copy_no"], r["source"]) for r in mixing.mixed(docs.select("doc_id", "source"), passes).collect()} for _ in range(2))
     assert max(n for _, n, s in one if s == "a") <= 4
     assert one == two and len(one) > 1000
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
-    assert mixing.report(none, targets).count() == 3
-    assert mixing.report(docs, spark.createDataFrame([], "source string, target_share double, max_repeat int")).count() == 0
+    assert mixing.report(none, targets, TOKENIZER).count() == 3
+    assert mixing.report(docs, spark.createDataFrame([], "source string, target_share double, max_repeat int"), TOKENIZER).count() == 0
 
 
 # ---- near-duplicates
