@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import written
+from corpusmill.runtime import BROADCAST_BYTES, written
 
 #: A final trigram is "almost never terminal" when its smoothed share of ends is below so many times
 #: that of any position, which is one over the mean number of tokens of a text.
 MAX_LIFT = 4
 #: Occurrences with which the share of a trigram's shape counts against its own.
 SHAPE_WEIGHT = 200
+#: Occurrences inside texts from which a trigram is reported as frequent.
+FREQUENT = 5
 
 # What a field or transfer limit leaves at the end of a text.
 LEFT_BEHIND = (
@@ -87,10 +89,20 @@ _SQL_END = _BODY + _LAST + _TOKENS + r"""
 SELECT id, tail, left_behind, open_block, element_at(k, -1) AS e FROM keyed
 """
 
+# Only trigrams that end some text are looked up, all others are counted by their shape alone, of which there are few.
 _SQL_INSIDE = _BODY + _LINES + _TOKENS + r"""
-SELECT x.g AS g, x.s AS s, count(*) AS n
-FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x
-GROUP BY x.g, x.s
+, inner_keys AS (
+  SELECT x.g AS g, x.s AS s FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x
+)
+SELECT e.g AS g, i.s AS s, count(*) AS n FROM inner_keys i LEFT JOIN {{wanted}} e ON i.g = e.g GROUP BY e.g, i.s
+"""
+
+# The same where the endings are too many to be broadcast: trigrams are counted by each task before they are shuffled.
+_SQL_INSIDE_MANY = _BODY + _LINES + _TOKENS + r"""
+, inner_keys AS (
+  SELECT x.g AS g, x.s AS s, count(*) AS n FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x GROUP BY x.g, x.s
+)
+SELECT e.g AS g, i.s AS s, sum(n) AS n FROM inner_keys i LEFT JOIN {{wanted}} e ON i.g = e.g GROUP BY e.g, i.s
 """
 
 
@@ -99,10 +111,12 @@ def _filled(sql: str) -> str:
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, cut, inside, ends, end_share`` for every text that shows anything.
+    """``id_col, cut, by, inside, ends, end_share`` for every text that shows anything.
 
     ``inside`` and ``ends`` are how often the text's final trigram occurs inside texts and at
-    the end of other texts; ``end_share`` is the smoothed share of ends.
+    the end of other texts; ``end_share`` is the smoothed share of ends.  ``by`` is what a cut text was judged
+    by: what was ``left`` behind, an open ``block``, its final ``trigram`` (common inside texts, where even
+    the trigram's own share is below the threshold), or the trigram's ``shape`` (too rare for a share of its own).
 
     Defined results: null, empty and blank texts have no row; repeated rows and copies get a
     row each, and a copy counts as another text's end only once for each different text
@@ -112,14 +126,17 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     ends = written(spark.sql(_filled(_SQL_END), docs=d), "ends")
-    inside = spark.sql(_filled(_SQL_INSIDE), docs=d)
+    wanted = ends.filter("NOT left_behind AND NOT open_block").select(F.col("e.g").alias("g")).distinct()
+    n = wanted.count()
+    few = n * 64 <= BROADCAST_BYTES
+    inside = written(spark.sql(_filled(_SQL_INSIDE if few else _SQL_INSIDE_MANY), docs=d, wanted=F.broadcast(wanted) if few else wanted), "inside")
     return spark.sql(
         f"""
 WITH end_g AS (
   SELECT e.g AS g, any_value(e.s) AS s, count(DISTINCT tail) AS ends FROM {{ends}} WHERE NOT left_behind AND NOT open_block GROUP BY e.g
-), in_g AS (SELECT g, s, n FROM {{inside}}),
+), in_g AS (SELECT g, sum(n) AS n FROM {{inside}} WHERE g IS NOT NULL GROUP BY g),
 shape_end AS (SELECT s, sum(ends) AS ends FROM end_g GROUP BY s),
-shape_in AS (SELECT s, sum(n) AS n FROM in_g GROUP BY s),
+shape_in AS (SELECT s, sum(n) AS n FROM {{inside}} GROUP BY s),
 shape AS (
   SELECT e.s, e.ends / (e.ends + coalesce(i.n, 0)) AS share FROM shape_end e LEFT JOIN shape_in i ON e.s = i.s
 ), base AS (
@@ -127,11 +144,14 @@ shape AS (
   FROM (SELECT sum(ends) AS e, sum(ends) AS n FROM shape_end UNION ALL SELECT 0 AS e, sum(n) AS n FROM shape_in)
 ), judged AS (
   SELECT e.g, coalesce(i.n, 0) AS inside, e.ends,
+         (e.ends - 1) / (e.ends - 1 + coalesce(i.n, 0)) AS own_share,
          (e.ends - 1 + {SHAPE_WEIGHT} * p.share) / (e.ends - 1 + coalesce(i.n, 0) + {SHAPE_WEIGHT}) AS end_share
   FROM end_g e JOIN shape p ON e.s = p.s LEFT JOIN in_g i ON e.g = i.g
 )
 SELECT t.id AS `{id_col}`,
        t.left_behind OR t.open_block OR coalesce(j.end_share < {MAX_LIFT} * base.share, false) AS cut,
+       CASE WHEN t.left_behind THEN 'left' WHEN t.open_block THEN 'block' WHEN j.end_share < {MAX_LIFT} * base.share
+            THEN CASE WHEN j.inside >= {FREQUENT} AND j.own_share < {MAX_LIFT} * base.share THEN 'trigram' ELSE 'shape' END END AS by,
        j.inside, j.ends, j.end_share
 FROM {{ends}} t CROSS JOIN base LEFT JOIN judged j ON t.e.g = j.g AND NOT t.left_behind AND NOT t.open_block
 """,
