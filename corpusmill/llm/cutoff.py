@@ -67,42 +67,44 @@ _LAST = r""", line AS (
 )"""
 
 _TOKENS = r""", tokens AS (
-  SELECT line.*, w, kind,
-         transform(w, x -> CASE WHEN x = '0' THEN '0' WHEN length(x) > 1 OR lower(x) <> upper(x) THEN 'w' ELSE x END) AS sh
+  SELECT line.*, w, kind
   FROM line
   LATERAL VIEW explode(array(regexp_extract_all(l, '[\\pL\\pM_]+|\\S', 0))) AS w
   LATERAL VIEW explode(array(
     CASE WHEN l RLIKE '^[-*+] ' THEN 'l' WHEN startswith(l, '|') THEN 't' WHEN startswith(l, '#') THEN 'h'
          WHEN startswith(l, '©') THEN 'c' WHEN startswith(l, '[') THEN 'r'
          WHEN l RLIKE '^[\\pL]+:' THEN 'k' ELSE 'p' END)) AS kind
-), shaped AS (
-  SELECT * FROM tokens LATERAL VIEW explode(array(sh)) AS s
-), keyed AS (
-  SELECT *
-  FROM shaped LATERAL VIEW explode(array(transform(w, (x, i) -> named_struct(
-           'g', xxhash64(kind, get(w, i - 2), get(w, i - 1), x),
-           's', xxhash64(kind, get(s, i - 2), get(s, i - 1), get(s, i)))))) AS k
-)
-"""
+)"""
+
+
+def _shape(word: str) -> str:
+    """The shape of a token; null stays null."""
+    return f"CASE WHEN {word} IS NULL THEN NULL WHEN {word} = '0' THEN '0' WHEN length({word}) > 1 OR lower({word}) <> upper({word}) THEN 'w' ELSE {word} END"
+
 
-_SQL_END = _BODY + _LAST + _TOKENS + r"""
-SELECT id, tail, left_behind, open_block, element_at(k, -1) AS e FROM keyed
+# The hashes of the trigram that ends with the token ``x`` after ``v`` and ``u``, and of its shape.
+_KEYS = f"xxhash64(kind, u, v, x) AS g, xxhash64(kind, {_shape('u')}, {_shape('v')}, {_shape('x')}) AS s"
+
+_SQL_END = _BODY + _LAST + _TOKENS + f"""
+SELECT id, tail, left_behind, open_block, CASE WHEN x IS NOT NULL THEN g END AS g, CASE WHEN x IS NOT NULL THEN s END AS s
+FROM (SELECT id, tail, left_behind, open_block, x, {_KEYS}
+      FROM (SELECT *, get(w, size(w) - 3) AS u, get(w, size(w) - 2) AS v, get(w, size(w) - 1) AS x FROM tokens))
 """
 
+_INNER = f""", inner_keys AS (
+  SELECT {_KEYS}
+  FROM (SELECT kind, get(w, i - 2) AS u, get(w, i - 1) AS v, x FROM tokens LATERAL VIEW posexplode(w) AS i, x WHERE NOT (last AND i = size(w) - 1))
+)"""
+
 # Only trigrams that end some text are looked up, all others are counted by their shape alone, of which there are few.
-_SQL_INSIDE = _BODY + _LINES + _TOKENS + r"""
-, inner_keys AS (
-  SELECT x.g AS g, x.s AS s FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x
-)
+_SQL_INSIDE = _BODY + _LINES + _TOKENS + _INNER + """
 SELECT e.g AS g, i.s AS s, count(*) AS n FROM inner_keys i LEFT JOIN {{wanted}} e ON i.g = e.g GROUP BY e.g, i.s
 """
 
 # The same where the endings are too many to be broadcast: trigrams are counted by each task before they are shuffled.
-_SQL_INSIDE_MANY = _BODY + _LINES + _TOKENS + r"""
-, inner_keys AS (
-  SELECT x.g AS g, x.s AS s, count(*) AS n FROM keyed LATERAL VIEW explode(CASE WHEN last THEN slice(k, 1, size(k) - 1) ELSE k END) AS x GROUP BY x.g, x.s
-)
-SELECT e.g AS g, i.s AS s, sum(n) AS n FROM inner_keys i LEFT JOIN {{wanted}} e ON i.g = e.g GROUP BY e.g, i.s
+_SQL_INSIDE_MANY = _BODY + _LINES + _TOKENS + _INNER + """
+SELECT e.g AS g, i.s AS s, sum(n) AS n
+FROM (SELECT g, s, count(*) AS n FROM inner_keys GROUP BY g, s) i LEFT JOIN {{wanted}} e ON i.g = e.g GROUP BY e.g, i.s
 """
 
 
@@ -126,14 +128,14 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     ends = written(spark.sql(_filled(_SQL_END), docs=d), "ends")
-    wanted = ends.filter("NOT left_behind AND NOT open_block").select(F.col("e.g").alias("g")).distinct()
+    wanted = ends.filter("NOT left_behind AND NOT open_block").select("g").distinct()
     n = wanted.count()
     few = n * 64 <= BROADCAST_BYTES
     inside = written(spark.sql(_filled(_SQL_INSIDE if few else _SQL_INSIDE_MANY), docs=d, wanted=F.broadcast(wanted) if few else wanted), "inside")
     return spark.sql(
         f"""
 WITH end_g AS (
-  SELECT e.g AS g, any_value(e.s) AS s, count(DISTINCT tail) AS ends FROM {{ends}} WHERE NOT left_behind AND NOT open_block GROUP BY e.g
+  SELECT g, any_value(s) AS s, count(DISTINCT tail) AS ends FROM {{ends}} WHERE NOT left_behind AND NOT open_block GROUP BY g
 ), in_g AS (SELECT g, sum(n) AS n FROM {{inside}} WHERE g IS NOT NULL GROUP BY g),
 shape_end AS (SELECT s, sum(ends) AS ends FROM end_g GROUP BY s),
 shape_in AS (SELECT s, sum(n) AS n FROM {{inside}} GROUP BY s),
@@ -144,7 +146,7 @@ shape AS (
   FROM (SELECT sum(ends) AS e, sum(ends) AS n FROM shape_end UNION ALL SELECT 0 AS e, sum(n) AS n FROM shape_in)
 ), judged AS (
   SELECT e.g, coalesce(i.n, 0) AS inside, e.ends,
-         (e.ends - 1) / (e.ends - 1 + coalesce(i.n, 0)) AS own_share,
+         coalesce(try_divide(e.ends - 1, e.ends - 1 + coalesce(i.n, 0)), 0) AS own_share,
          (e.ends - 1 + {SHAPE_WEIGHT} * p.share) / (e.ends - 1 + coalesce(i.n, 0) + {SHAPE_WEIGHT}) AS end_share
   FROM end_g e JOIN shape p ON e.s = p.s LEFT JOIN in_g i ON e.g = i.g
 )
@@ -153,7 +155,7 @@ SELECT t.id AS `{id_col}`,
        CASE WHEN t.left_behind THEN 'left' WHEN t.open_block THEN 'block' WHEN j.end_share < {MAX_LIFT} * base.share
             THEN CASE WHEN j.inside >= {FREQUENT} AND j.own_share < {MAX_LIFT} * base.share THEN 'trigram' ELSE 'shape' END END AS by,
        j.inside, j.ends, j.end_share
-FROM {{ends}} t CROSS JOIN base LEFT JOIN judged j ON t.e.g = j.g AND NOT t.left_behind AND NOT t.open_block
+FROM {{ends}} t CROSS JOIN base LEFT JOIN judged j ON t.g = j.g AND NOT t.left_behind AND NOT t.open_block
 """,
         ends=ends,
         inside=inside,
