@@ -103,8 +103,12 @@ class Seeds:
         self.unique, self.first = np.unique(self.hash, return_index=True)
         self.last = np.append(self.first[1:], len(self.hash))
         self.rare = np.ones(len(self.unique), bool)
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        # every word of every item, one number a word and item
+        with np.errstate(over="ignore"):
+            self.words = np.unique(cat([c * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) for i, c in enumerate(self.codes)], np.uint64))
         # two fifths of an item of eleven or twelve words hold one seed, of fewer words none
-        self.short = np.array([len(c) <= 12 for c in self.codes], bool)
+        self.short = self.size <= 12
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[(self.unique & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
@@ -210,6 +214,22 @@ def _whole(seeds: Seeds, codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     return both[0], both[1]
 
 
+def _possible(seeds: Seeds, codes: np.ndarray, start: np.ndarray, d: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
+    """Whether the stretch of each candidate has so many words of the item that the alignment can reach ``LEAST_SCORE``.
+
+    No score exceeds the number of the stretch's words that occur in the item, so nothing is lost.
+    """
+    size = seeds.size[item]
+    lo = np.maximum(diag - DRIFT, 0) + start[d]
+    hi = np.maximum(np.minimum(diag + size + 2 * DRIFT + start[d], start[d + 1]), lo)
+    n = hi - lo
+    row = np.repeat(np.arange(len(d)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+    with np.errstate(over="ignore"):
+        known = np.isin(codes[at] * np.uint64(0x9E3779B97F4A7C15) + item[row].astype(np.uint64), seeds.words)
+    return np.bincount(row, known, minlength=len(d)) >= LEAST_SCORE * size
+
+
 def _scores(seeds: Seeds, codes: np.ndarray, start: np.ndarray, d: np.ndarray, item: np.ndarray, diag: np.ndarray) -> np.ndarray:
     sizes = np.array([len(seeds.codes[i]) for i in item], np.int64)
     out = np.zeros(len(d), np.int64)
@@ -297,13 +317,15 @@ def _leaks_of(spark, slim: DataFrame, seeds: Seeds, kind: str, ikind: str) -> Da
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = ship2.value
-        sizes = np.array([len(c) for c in s.codes], np.int64)
+        sizes = s.size
         names = pa.array(s.ids)
         for b in batches:
             if not len(s.ids):
                 continue
             codes, start, at, k, doc = _hits(b.column(1).to_pylist(), s)
             d, item, diag = _candidates(s, at, k, doc, start)
+            may = _possible(s, codes, start, d, item, diag)
+            d, item, diag = d[may], item[may], diag[may]
             score = _scores(s, codes, start, d, item, diag)
             dw, iw = _whole(s, codes, start)
             d, item, score = np.concatenate([d, dw]), np.concatenate([item, iw]), np.concatenate([score, sizes[iw]])
