@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import ship_package, written
+
 DEFECTS = ("empty", "copy", "refusal", "truncated", "other_language")
 #: A final context is not terminal when its share of ends is below so many times that of any position
 #: (one over the mean number of tokens of a response); prior weight of an unseen context.
@@ -38,6 +40,18 @@ STOP = {
     "fr": "le la les de des du et est une un dans que qui pour avec sur quand si pas chaque lorsque après plus entre alors tant dès là où à côté je ce mais se au aux sans sous avant derrière pendant puisque elle il son sa ses cette trouve parce",
     "es": "el la los las de del y es una un en que con por para cuando si no cada pues entre donde más porque hay aunque mientras ya lo se junto a frente como pero es sin sobre antes tras bajo durante siempre apenas desde hasta su al este esta ni",
 }
+# Function words of languages questions are not asked in.
+STOP_OTHER = {
+    "it": "il gli della dello delle degli nella nello nelle che è sono una uno perché quando non più con questo questa viene sempre dopo prima anche dal dalla alla allo ogni tra oppure senza quindi essere",
+    "pt": "o os as não uma um em que é são com para quando mais do da dos das pelo pela se depois antes cada também porque isso este esta foi ser está entre sem até seu sua",
+    "nl": "het een van niet dat is met voor wanneer op zijn wordt ook maar naar omdat deze dit bij tot door elke tussen zonder dan nog wel heeft worden uit over",
+    "sv": "och att det är som på inte för med av ett när varje efter innan eftersom denna detta mellan utan också från till hos blir har skall eller",
+    "pl": "nie jest się że na w z do oraz gdy każdy przed po ponieważ ten ta to między bez także od przez jak tylko są być lub przy",
+    "da": "og at det er som på ikke for med af et når hver efter før fordi denne dette mellem uden også fra til bliver har skal eller kun",
+    "tr": "ve bir bu için ile olarak değil daha gibi kadar sonra önce çünkü her olan ancak veya ise ne var yok",
+    "cs": "a že se na je v z do nebo když každý před po protože tento tato mezi bez také od pro jako pouze jsou být při",
+    "fi": "ja on ei että se joka kun myös ovat mutta tai sekä kuin ennen jälkeen koska ilman jokainen vain niin tämä",
+}
 # Phrases with which a response declines to answer.
 REFUSALS = [
     "cannot answer", "can't answer", "can not answer", "unable to answer", "not able to answer", "not able to pick", "unable to pick", "cannot pick", "can't pick",
@@ -55,9 +69,35 @@ REFUSALS = [
 # What stands for a missing answer, and the evaluator's error marker.
 PLACEHOLDERS = {"null", "none", "nan", "n/a", "na", "nil", "undefined", "todo", "tbd", "answer", "your answer", "your answer here", "placeholder", "no answer", "empty", "unknown", "question_evaluation_error", "lorem ipsum", "x", "xxx", "tba", "response", "insert answer here", "answer here"}
 
+# A speaker or an impersonal form, an inability or unwillingness, and an act of choosing; one of each, in this order and close together, declines.
+DECLINES = [
+    r"\b(?:i|we|i'm|we're|i'll|i'd|me|us|this assistant|the model|it(?:'s| is| isn't| is not| would be)?|there(?:'s| is))\b",
+    r"\b(?:can ?not|can't|couldn't|could not|unable|not able|incapable|won't|will not|decline|declining|refuse|refusing|must not|mustn't|impossible|not possible|isn't possible|no way|no basis|not in a position|not going to|do not wish|don't wish|don't want|rather not|prefer not|not willing|unwilling|hesitant|not qualified|nothing)\b",
+    r"\b(?:answer|choose|choosing|pick|picking|decide|deciding|select|selecting|determine|tell|say|respond|settle|commit|judge|help|favou?r|single out|identify|recommend|conclude)\b",
+    r"\b(?:ich|wir|mir|uns|es|man)\b",
+    r"\b(?:nicht|kein|keine|keinen|unmöglich|außerstande|weigere|lehne|verzichte|ungern)\b",
+    r"\b(?:antworten|beantworten|antwort|entscheiden|entscheidung|wählen|auswählen|auswahl|festlegen|sagen|bestimmen|helfen|beurteilen)\b",
+    r"\b(?:je|nous|il|me|moi)\b",
+    r"\b(?:ne|n'|pas|impossible|refuse|refusons|incapable|décline|aucune)\b",
+    r"\b(?:répondre|choisir|réponse|trancher|décider|dire|déterminer|sélectionner|aider|désigner)\b",
+    r"\b(?:yo|me|nos|no|es)\b",
+    r"\b(?:puedo|podemos|imposible|posible|capaz|rehúso|declino|niego|prefiero no|quiero|voy a)\b",
+    r"\b(?:responder|contestar|elegir|escoger|decidir|decir|determinar|seleccionar|ayudar|respuesta|decantarme)\b",
+]
+
 _COUNT = Counter(w for words in STOP.values() for w in set(words.split()))
 # words that several of the languages share say nothing
 _STOP = {lang: frozenset(w for w in words.split() if _COUNT[w] == 1) for lang, words in STOP.items()}
+_OTHER_COUNT = Counter(w for words in STOP_OTHER.values() for w in set(words.split()))
+_STOP_OTHER = {lang: frozenset(w for w in words.split() if w not in _COUNT) for lang, words in STOP_OTHER.items()}
+# gaps of up to six words within a sentence
+_DECLINE = [re.compile(rf"{a}[^.!?\n]{{0,40}}?{b}(?:\W+\w+){{0,6}}?\W+{c}") for a, b, c in zip(DECLINES[::3], DECLINES[1::3], DECLINES[2::3])]
+# Blocks of letters of other scripts than Latin.
+_SCRIPTS = {
+    "greek": r"[\u0370-\u03ff]", "cyrillic": r"[\u0400-\u052f]", "hebrew": r"[\u0590-\u05ff]", "arabic": r"[\u0600-\u06ff]", "indic": r"[\u0900-\u0dff]", "thai": r"[\u0e00-\u0e7f]",
+    "kana": r"[\u3040-\u30ff]", "han": r"[\u3400-\u9fff]", "hangul": r"[\uac00-\ud7af]",
+}
+_FOREIGN = {k: re.compile(v) for k, v in _SCRIPTS.items()}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,]\d+)*|\S")
 _TAGS = re.compile(r"<[^<>]*>|```\w*|&\w+;")
@@ -87,13 +127,36 @@ def contexts(text: str) -> list[str]:
 
 
 def language(text: str) -> str | None:
-    """Language by function words: at least two of them, and clearly more than of any other."""
-    words = _WORD.findall(_LETTER.sub(" ", text).lower())
+    """Language by function words: at least two of them, and clearly more than of any other.
+
+    A text mostly of letters of another script than Latin has that script as its language; further languages
+    need three words that none of the four main ones has, and clearly more than these have.
+    """
+    low = _LETTER.sub(" ", text).lower()
+    words = _WORD.findall(low)
+    letters = sum(map(len, words))
+    if letters and not low.isascii():
+        script, n = max(((k, len(p.findall(low))) for k, p in _FOREIGN.items()), key=lambda x: x[1])
+        if 2 * n > letters:
+            return "ja" if script in ("kana", "han") and _FOREIGN["kana"].search(low) else script
     found = {lang: sum(w in stop for w in words) for lang, stop in _STOP.items()}
     (first, n), (_, m) = sorted(found.items(), key=lambda x: -x[1])[:2]
+    other, k = max(((lang, sum(w in stop for w in words)) for lang, stop in _STOP_OTHER.items()), key=lambda x: x[1])
+    if k >= 3 and k >= 1.5 * n:
+        return other
     return first if n >= 2 and n >= 1.5 * m else None
 
 
+def declines(text: str, options: list[str]) -> bool:
+    """It says that no choice is made, by a phrase of the dictionary or a speaker's inability to choose, and neither gives a letter nor quotes an option."""
+    low = text.lower().replace("\u2019", "'")
+    if answers(text):
+        return False
+    if any(p in low for p in REFUSALS):
+        return True
+    return not any(len(o) > 5 and o.lower() in low for o in options) and any(p.search(low) for p in _DECLINE)
+
+
 def is_empty(text: str | None) -> bool:
     """Nothing visible, punctuation, empty markup, a placeholder or the error marker."""
     if text is None:
@@ -135,14 +198,14 @@ def explained(data: bytes, by: bytes) -> int:
     return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
 
 
-def is_copy(text: str, question: str | None, options: list[str]) -> bool:
+def is_copy(text: str, question: str | None, options: list[tuple[str, str]]) -> bool:
     """The response repeats (most of) the question, perhaps with options, and adds no answer."""
     if not question or answers(text):
         return False
     r, q = _plain(text), _plain(question)
     if len(r) < 0.45 * len(q) or len(q) < 16:
         return False
-    prompt = b" ".join([q, *(_plain(f"{k}) {o}") for k, o in zip("ABCD", options))])
+    prompt = b" ".join([q, *(_plain(f"{k}) {o}") for k, o in options)])
     if explained(r, prompt) > max(NEW_LEAST, NEW_SHARE * len(r)):
         return False
     return explained(q, r) <= max(NEW_LEAST, LEFT_SHARE * len(_plain_cctx.compress(q)))
@@ -179,14 +242,14 @@ def prose(text: str, options: list[str]) -> str:
     return "" if body.rstrip(".") in options else body
 
 
-def defect(text: str | None, question: str | None, options: list[str], share: dict[str, float]) -> str | None:
-    """The defect of a response, or None."""
+def defect(text: str | None, question: str | None, labelled: list[tuple[str, str]], share: dict[str, float]) -> str | None:
+    """The defect of a response to a question with ``labelled`` options, or None."""
+    options = [o for _, o in labelled]
     if is_empty(text):
         return "empty"
-    if is_copy(text, question, options):
+    if is_copy(text, question, labelled):
         return "copy"
-    low = text.lower().replace("’", "'")
-    if any(p in low for p in REFUSALS) and not answers(text):
+    if declines(text, options):
         return "refusal"
     if is_cut(text, options, share):
         return "truncated"
@@ -244,18 +307,21 @@ def defects(results: DataFrame, questions: DataFrame) -> DataFrame:
     questions the smallest holds; responses are read whole; extra columns are ignored.
     """
     spark = results.sparkSession
+    ship_package(spark)
     last = F.max(F.struct("loaded_at", F.col("question_id").alias("qid"), F.col("generated_response").alias("r"))).alias("x")
     one = results.filter("result_id IS NOT NULL").groupBy("result_id").agg(last).select(F.col("result_id").alias("result"), "x.qid", "x.r")
-    texts = F.array_sort(F.map_values("options"))
+    one = written(one, "answers")
+    # options in order of their labels, each behind its label
+    texts = F.array_sort(F.transform(F.filter(F.map_entries("options"), lambda e: e["value"].isNotNull()), lambda e: F.concat_ws("\t", e["key"], e["value"])))
     asked = questions.filter("id IS NOT NULL AND question IS NOT NULL").groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("question", texts.alias("options"))).alias("q"))
-    ship = spark.sparkContext.broadcast(end_shares(results.select(F.col("generated_response").alias("r"))))
+    ship = spark.sparkContext.broadcast(end_shares(one.select("r")))
     joined = salted_join(one, asked.select("qid", "q.question", "q.options"), "qid").select("result", "r", "question", "options")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = ship.value
         for b in batches:
             found = [
-                defect(r, q, [x for x in o if x] if o else [], share)
+                defect(r, q, [(k, x) for k, x in (y.split("\t", 1) for y in o) if x] if o else [], share)
                 for r, q, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
             ]
             keep = np.flatnonzero([f is not None for f in found])

@@ -269,3 +269,26 @@ def test_defects_of_nothing_and_hot_question(spark, monkeypatch):
     assert out.count() == 30000 and out.filter("v = 1").count() == 20000
     one = results(spark, [(1, "q", "A", dt.datetime(2025, 1, 1), "")])
     assert pairs.defects(one, spark.createDataFrame([], "id string, question string, options map<string,string>")).count() == 0
+
+
+def test_refusals_and_languages_beyond_the_phrases():
+    options = ["red lamp", "blue stone"]
+    for t in (
+        "I am afraid I am not in a position to pick one of these.", "There is no basis on which I could single out a choice.", "We won't commit to any of the four.",
+        "Ich sehe mich außerstande, hier eine Auswahl zu treffen.", "Mir ist es nicht gegeben, das zu entscheiden.", "Je suis incapable de trancher entre ces propositions.",
+        "Il m'est impossible de désigner la bonne proposition.", "No soy capaz de decidir entre las opciones.", "Me es imposible elegir una de ellas.",
+    ):
+        assert pairs.declines(t, options), t
+    for t in ("The valve cannot open before the pump has stopped.", "I cannot say more than that the red lamp is on.", "B) blue stone", "Das Ventil öffnet nicht vor dem Start der Pumpe.", "El motor no arranca sin la llave.", "La pompe ne démarre pas sans clé."):
+        assert not pairs.declines(t, options), t
+    assert pairs.language("Il motore non parte perché la pompa è sempre ferma quando il serbatoio viene svuotato.") == "it"
+    assert pairs.language("De pomp wordt niet gestart omdat het reservoir met het ventiel is verbonden.") == "nl"
+    assert pairs.language("泵在启动之前必须检查阀门。") == "han" and pairs.language("Насос не запускается до открытия клапана.") == "cyrillic"
+    assert pairs.language("The pump is started before the valve opens.") == "en" and pairs.language("Die Pumpe ist nicht mit dem Ventil verbunden.") == "de"
+    assert pairs.defect("Il motore non parte perché la pompa è sempre ferma quando il serbatoio viene svuotato.", "When is the pump started?", [("A", "x"), ("B", "y")], {"": 0.0}) == "other_language"
+
+
+def test_copies_keep_the_labels_of_options():
+    question = "Which lamp in the long hall of the old station burns until the morning comes?"
+    labelled = [("A", "the zinc lamp beside the gate"), ("B", "the amber lamp above the stairs"), ("C", "the blue lamp"), ("D", "the lamp")]
+    assert pairs.is_copy(question + " " + " ".join(f"{k}) {o}" for k, o in labelled) + ". So.", question, labelled)
