@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import set_jaccard, stripped, word_tokens
-from corpusmill.runtime import BROADCAST_BYTES, maybe_broadcast
+from corpusmill.runtime import BROADCAST_BYTES, maybe_broadcast, ship_package, written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Bytes of query vectors that a slice broadcasts.
 QUERY_BYTES = BROADCAST_BYTES
+#: Runs of letters and digits, the terms of the text index.
+TERM = re.compile(r"[^\W_]+")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -38,17 +41,101 @@ def top_ranked(scored: DataFrame, k: int, by: list[Column], key: str = "qid") ->
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _impacts(tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``qid, id, score, rank``: the ``k`` best documents of each query by BM25.
 
-    Scores are rounded to six digits and ties broken by id.  Only postings of terms that some query holds are
-    joined; the distinct query terms are broadcast when their counted size allows.
+    Scores are rounded to six digits and ties broken by id; null texts and texts without terms neither search nor are
+    found.  Without an ``index`` the documents are streamed twice: once for the frequencies of the queries' terms and
+    the mean length, once to score every document against all queries as a product of two matrices, each task
+    keeping the best ``k`` of each query, so only those are shuffled.  The queries are taken in slices of bounded size.
     """
-    terms, stats = index or postings(docs, doc_id, text_col)
-    q = query_terms(queries, query_id, text_col).persist()
+    if index is not None:
+        return _bm25_of_index(*index, queries, k, query_id, text_col)
+    spark = docs.sparkSession
+    ship_package(spark)
+    slim = docs.select(F.col(doc_id).alias("id"), F.lower(F.col(text_col)).alias("t")).filter("t IS NOT NULL AND id IS NOT NULL")
+    q = query_terms(queries.filter(F.col(query_id).isNotNull()), query_id, text_col).groupBy("qid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    q = written(q, "queries")
+    size = q.agg(F.sum(F.size("terms")), F.count(F.lit(1))).first()
+    slices = max(1, -(-(size[0] or 0) * 60 // QUERY_BYTES))
+    kind, qkind = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    found = None
+    for i in range(slices):
+        rows = q.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i).orderBy("qid").toArrow() if slices > 1 else q.orderBy("qid").toArrow()
+        one = slim.mapInArrow(_bm25_scorer(slim, rows, k), f"qid {qkind}, id {kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    return top_ranked(found, k, [F.col("score").desc(), F.col("id")])
+
+
+def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
+    """The function that scores Arrow batches ``id, t`` against a slice of queries ``qid, terms``."""
+    lists = queries.column("terms").to_pylist()
+    number = {t: i for i, t in enumerate(dict.fromkeys(t for x in lists for t in x))}
+    wants = np.zeros((len(number), len(lists)), np.float32)
+    for j, x in enumerate(lists):
+        wants[[number[t] for t in x], j] = 1
+    sc = docs.sparkSession.sparkContext
+    terms = sc.broadcast(number)
+
+    def counted(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and frequency of the queries' terms in texts, and the texts' lengths in terms."""
+        dl, row, col = np.zeros(len(texts)), [], []
+        for i, t in enumerate(texts):
+            words = TERM.findall(t)
+            dl[i] = len(words)
+            hits = [known[w] for w in words if w in known]
+            row.append(np.full(len(hits), i)), col.append(np.array(hits, np.int64))
+        cell, tf = np.unique(np.concatenate([*row, np.zeros(0, int)]) * max(len(known), 1) + np.concatenate([*col, np.zeros(0, np.int64)]), return_counts=True)
+        return cell // max(len(known), 1), cell % max(len(known), 1), tf, dl
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df, n, total = terms.value, np.zeros(len(terms.value), np.int64), 0, 0
+        for b in batches:
+            _, col, _, dl = counted(b.column(1).to_pylist(), known)
+            np.add.at(df, col, 1)
+            n, total = n + int((dl > 0).sum()), total + int(dl.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, total]))], ["term", "n"])
+
+    # at most one row a term of the slice
+    sums = docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, at, n = np.zeros(len(number)), sums.column("term").to_numpy(), sums.column("n").to_numpy()
+    df[at[at >= 0]] = n[at >= 0]
+    docs_n, total = (int(n[at == c].sum()) for c in (-1, -2))
+    idf, avgdl = np.log(1 + (docs_n - df + 0.5) / (df + 0.5)), total / max(docs_n, 1)
+    ship = sc.broadcast((wants, idf, avgdl, queries.column("qid").combine_chunks()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wants, idf, avgdl, names = ship.value
+        known = terms.value
+        for whole in batches:
+            for a in range(0, whole.num_rows if len(names) else 0, 1024):
+                b = whole.slice(a, 1024)
+                row, col, tf, dl = counted(b.column(1).to_pylist(), known)
+                # only the terms of these texts; whole numbers of queries fit single precision, scores need double
+                used, col = np.unique(col, return_inverse=True)
+                parts = np.zeros((b.num_rows, len(used)))
+                parts[row, col] = _impacts(tf, dl[row], idf[used[col]], avgdl)
+                s = np.round(parts @ wants[used].astype(np.float64), 6).T
+                if s.shape[1] > k:
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    i, j = np.nonzero((s >= edge[:, None]) & (s > 0))
+                else:
+                    i, j = np.nonzero(s > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["qid", "id", "score"])
+
+    return score
+
+
+def _bm25_of_index(terms: DataFrame, stats: DataFrame, queries: DataFrame, k: int, query_id: str, text_col: str) -> DataFrame:
+    """BM25 over postings: only those of terms that some query holds are joined."""
+    q = written(query_terms(queries, query_id, text_col), "terms")
     wanted = q.select("term").distinct()
-    wanted = maybe_broadcast(wanted, wanted.count(), 40)
-    hit = terms.join(wanted, "term", "left_semi")
+    hit = written(terms.join(maybe_broadcast(wanted, wanted.count(), 40), "term", "left_semi"), "postings")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -71,6 +158,7 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
     vector is null or of another length than the queries' are not found.
     """
     spark = index.sparkSession
+    ship_package(spark)
     q = queries.select(F.col(query_id).alias("qid"), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
     stat = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, d = stat["n"], stat["d"] or 1
