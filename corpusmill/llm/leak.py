@@ -2,9 +2,8 @@
 
 The five-word n-grams of the items are the seeds.  A first pass over the documents counts in
 how many documents each seed occurs; seeds in few documents are rare.  A second pass looks up
-each document's n-grams in the seeds, takes the (document, item) pairs with a rare seed, or with
-several seeds near one diagonal, as candidates and aligns the item's words with that stretch of
-the document.  Items of fewer words than a seed are looked up whole, each by the hash of all its words.
+each document's n-grams in the seeds, takes the (document, item) pairs with enough seeds near one
+diagonal as candidates and aligns the item's words with that stretch of the document.  Items of fewer words than a seed are looked up whole, each by the hash of all its words.
 Both passes stream the documents; the only shuffle is the seed count.  Items are taken in
 slices of bounded size, so what is broadcast is bounded however many items there are.
 """
@@ -29,8 +28,8 @@ GRAM = 5
 #: A seed is rare when it occurs in at most this share of the documents (or in RARE_LEAST documents).
 RARE_SHARE, RARE_LEAST = 0.004, 20
 #: Seeds near one diagonal that make a candidate: rare ones, or any (for items that leaked into many documents).
-#: Items so short that two fifths of them hold no more seeds need a single one.
-RARE_SEEDS, ANY_SEEDS = 1, 2
+#: Two fifths of an item of up to ``SHORT`` words may hold a single seed when a word is changed: there one seed is enough.
+RARE_SEEDS, ANY_SEEDS, SHORT = 2, 3, 25
 #: Words by which the diagonals of one stretch may differ.
 DRIFT = 12
 #: Least alignment score as a share of the item's words (match 1, changed, missing or added word -1).
@@ -107,8 +106,7 @@ class Seeds:
         # every word of every item, one number a word and item
         with np.errstate(over="ignore"):
             self.words = np.unique(cat([c * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) for i, c in enumerate(self.codes)], np.uint64))
-        # two fifths of an item of eleven or twelve words hold one seed, of fewer words none
-        self.short = self.size <= 12
+        self.short = self.size <= SHORT
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[(self.unique & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
