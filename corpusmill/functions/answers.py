@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType
 from .text import stripped
 
 LABELS = ("A", "B", "C", "D")
+_BRACE = re.compile("[{}]")
 
 
 def parse_answer(response: Column, keys: tuple[str, ...] = LABELS) -> Column:
@@ -22,6 +24,7 @@ def parse_answer(response: Column, keys: tuple[str, ...] = LABELS) -> Column:
     """
     k = "|".join(sorted(keys))
     t = stripped(response)
+    # The forms of an answer, by priority.
     forms = [rf"(?:the\s+)?answer\s*(?:is|:)\s*({k})\b", rf"\b({k})\s*[).:]\s", rf"^({k})\b", rf"\b({k})$", rf"\b({k})\b"]
     found = [F.nullif(F.regexp_extract(t, "(?iU)" + f, 1), F.lit("")) for f in forms]
     return F.coalesce(*[F.upper(x) for x in found], F.lit("INVALID"))
@@ -62,10 +65,10 @@ def _first_object(text: str | None) -> str | None:
     if text is None or (a := text.find("{")) < 0:
         return None
     depth = 0
-    for i in range(a, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
+    for m in _BRACE.finditer(text, a):
+        depth += 1 if m[0] == "{" else -1
         if depth == 0:
-            return text[a : i + 1]
+            return text[a : m.end()]
     return None
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import stripped
-from corpusmill.runtime import default_parallelism, written
+from corpusmill.runtime import default_parallelism, maybe_broadcast, ship_package, written
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -82,6 +82,7 @@ def chunk_documents(docs: DataFrame, strategy: str = "recursive", size: int = 51
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below the chunk size")
     split = STRATEGIES[strategy]
+    ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,15 +116,11 @@ def with_ordinal(df: DataFrame, order: list[str | Column], out: str = "ordinal")
     n = default_parallelism(df.sparkSession)
     spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     spread = written(spread, "ordered")
-    part = F.shiftright("_at", 33)
-    counts = sorted((r["p"], r["count"]) for r in spread.groupBy(part.alias("p")).count().collect())
-    offset, start = [], 0
-    for p, c in counts:
-        offset += [F.lit(p), F.lit(start)]
-        start += c
-    if not offset:
-        return spread.withColumn(out, F.lit(0).cast("long")).drop("_at")
-    return spread.withColumn(out, (F.element_at(F.create_map(*offset), part) + F.col("_at").bitwiseAND(2**33 - 1)).cast("long")).drop("_at")
+    # one row a partition; the window runs over them
+    counts = written(spread.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    start = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    numbered = spread.withColumn("_part", F.shiftright("_at", 33)).join(maybe_broadcast(start, n, 16), "_part")
+    return numbered.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND(2**33 - 1)).drop("_at", "_part", "_start")
 
 
 def chunk_ids(chunks: DataFrame, prefix: str = "chunk", order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import bound, split_tokens, token_jaccard
 from corpusmill.functions.vectors import cosine
-from corpusmill.runtime import written
+from corpusmill.runtime import ship_package, written
 
 # Margins and limits of distractor quality.
 EXTRA_JACCARD, EXTRA_COSINE, INTRA_JACCARD, INTRA_COSINE = 0.05, 0.05, 0.70, 0.85
@@ -89,6 +89,7 @@ def close_edges(rows: DataFrame, threshold: float, group_col: str, pos_col: str
 
     Each group is compared in blocks, a block pair per task, so a large group is spread over many tasks.
     """
+    ship_package(rows.sparkSession)
     base = rows.filter(F.col(vec_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(pos_col).cast("long").alias("pos"), F.col(vec_col).cast("array<double>").alias("v"))
     counts = base.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     spread = base.join(counts, "grp").withColumn("mine", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int"))

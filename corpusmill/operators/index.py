@@ -25,22 +25,43 @@ class Index:
     stats: DataFrame
 
     def search_text(self, queries: DataFrame, k: int, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+        """BM25 of many queries at once: the chunks are streamed."""
+        return retrieval.bm25(self.chunks, queries, k, "chunk_id", query_id, text_col)
+
+    def look_up_text(self, queries: DataFrame, k: int, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+        """BM25 of few queries: only the postings of their terms are read."""
         return retrieval.bm25(self.chunks, queries, k, "chunk_id", query_id, text_col, (self.postings, self.stats))
 
     def search_vectors(self, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
         return retrieval.vector_search(self.vectors, queries, k, metric)
 
-    def save(self, path: str) -> None:
-        """Replace the index at ``path``."""
+    def save(self, path: str, index_type: str = "vector_only") -> None:
+        """Replace the index at ``path``, its type and number of chunks beside its tables."""
         for name in PARTS:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.chunks.sparkSession
+        about = spark.read.parquet(f"{path}/chunks").agg(F.lit(index_type).alias("index_type"), F.count(F.lit(1)).alias("n_chunks"))
+        about.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """Read an index; a missing table is an error."""
+    """Read an index; a missing folder is an error, a missing table too."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in PARTS])
 
 
+def metadata(spark: SparkSession, path: str) -> dict:
+    """Type and number of chunks of a saved index."""
+    return spark.read.schema("index_type string, n_chunks long").json(f"{path}/metadata").first().asDict()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def build(docs: DataFrame, strategy: str = "recursive", size: int = 512, overlap: int = 64, embedder: Embedder | None = None) -> Index:
     """Chunk, number, embed and index documents; no chunk at all is an error."""
     chunks = chunking.chunk_ids(chunking.chunk_documents(docs, strategy, size, overlap))
@@ -55,16 +76,13 @@ class Registry:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, key: str) -> str:
         return f"{self.root}/{key}"
 
     def has(self, key: str) -> bool:
         """Whether a finished index of that fingerprint is there."""
-        return self._fs.exists(self._path(self.path(key) + "/manifest"))
+        return exists(self.spark, self.path(key) + "/manifest") and exists(self.spark, self.path(key) + "/chunks")
 
     def get(self, key: str) -> Index:
         if not self.has(key):

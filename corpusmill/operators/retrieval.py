@@ -18,6 +18,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Bytes of query vectors that a slice broadcasts.
 QUERY_BYTES = BROADCAST_BYTES
+#: Queries that are scored at once against a block of texts.
+QUERY_BLOCK = 512
 #: Runs of letters and digits, the terms of the text index.
 TERM = re.compile(r"[^\W_]+")
 
@@ -75,9 +77,8 @@ def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
     """The function that scores Arrow batches ``id, t`` against a slice of queries ``qid, terms``."""
     lists = queries.column("terms").to_pylist()
     number = {t: i for i, t in enumerate(dict.fromkeys(t for x in lists for t in x))}
-    wants = np.zeros((len(number), len(lists)), np.float32)
-    for j, x in enumerate(lists):
-        wants[[number[t] for t in x], j] = 1
+    # the terms of all queries, one after the other, and where each query starts
+    wants = np.fromiter((number[t] for x in lists for t in x), np.int32), np.cumsum([0] + [len(x) for x in lists])
     sc = docs.sparkSession.sparkContext
     terms = sc.broadcast(number)
 
@@ -110,23 +111,31 @@ def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
     ship = sc.broadcast((wants, idf, avgdl, queries.column("qid").combine_chunks()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wants, idf, avgdl, names = ship.value
+        (term, start), idf, avgdl, names = ship.value
         known = terms.value
         for whole in batches:
             for a in range(0, whole.num_rows if len(names) else 0, 1024):
                 b = whole.slice(a, 1024)
                 row, col, tf, dl = counted(b.column(1).to_pylist(), known)
-                # only the terms of these texts; whole numbers of queries fit single precision, scores need double
+                # only the terms of these texts take part
                 used, col = np.unique(col, return_inverse=True)
-                parts = np.zeros((b.num_rows, len(used)))
-                parts[row, col] = _impacts(tf, dl[row], idf[used[col]], avgdl)
-                s = np.round(parts @ wants[used].astype(np.float64), 6).T
-                if s.shape[1] > k:
-                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    i, j = np.nonzero((s >= edge[:, None]) & (s > 0))
-                else:
-                    i, j = np.nonzero(s > 0)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["qid", "id", "score"])
+                place = np.full(len(idf), -1)
+                place[used] = np.arange(len(used))
+                parts = np.zeros((len(used), b.num_rows))
+                parts[col, row] = _impacts(tf, dl[row], idf[used[col]], avgdl)
+                for q in range(0, len(names), QUERY_BLOCK):
+                    lo, hi = start[q], start[min(q + QUERY_BLOCK, len(names))]
+                    at = place[term[lo:hi]]
+                    mine = np.repeat(np.arange(len(start[q : q + QUERY_BLOCK + 1]) - 1), np.diff(start[q : q + QUERY_BLOCK + 1]))
+                    asks = np.zeros((min(QUERY_BLOCK, len(names) - q), len(used)))
+                    asks[mine[at >= 0], at[at >= 0]] = 1
+                    s = np.round(asks @ parts, 6)
+                    if s.shape[1] > k:
+                        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                        i, j = np.nonzero((s >= edge[:, None]) & (s > 0))
+                    else:
+                        i, j = np.nonzero(s > 0)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["qid", "id", "score"])
 
     return score
 

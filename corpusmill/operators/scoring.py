@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.answers import LABELS
 
-#: Fields compared between two configurations, as paths into the ``config`` struct.
+# Fields compared between two configurations, as paths into the ``config`` struct.
 DIFF_FIELDS = [
     "structural.chunk_size", "structural.chunk_overlap", "structural.chunking_strategy", "structural.embedding_model", "structural.index_type",
     "runtime.top_k", "runtime.hybrid_alpha", "runtime.reranker", "runtime.query_expansion", "runtime.llm_model", "runtime.temperature",
@@ -58,6 +58,7 @@ def fixed_decimals(x: Column, digits: int) -> Column:
 
 def summary_line() -> Column:
     """One line about a trial; a null score reads ``nan``."""
+    # The wording of the line.
     s, r = "config.structural.", "config.runtime."
     return F.concat(
         F.lit("Trial "), F.col("trial_number").cast("string"), F.lit(": score="), F.coalesce(fixed_decimals(F.col("score"), 3), F.lit("nan")),
@@ -80,6 +81,12 @@ def joined_context(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", tex
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "\n").alias("context"))
 
 
+def context_of(retrieved: DataFrame) -> DataFrame:
+    """``qid, context``: the texts of ``qid, rank, text`` in order of rank, joined by line breaks."""
+    lists = retrieved.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))
+    return lists.select("qid", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("context"))
+
+
 def rendered_options(options: Column) -> Column:
     """``K) text`` lines in order of the labels; null without options."""
     return F.array_join(F.transform(F.filter(F.array(*[F.lit(x) for x in LABELS]), lambda k: F.map_contains_key(options, k)), lambda k: F.concat(k, F.lit(") "), F.coalesce(F.element_at(options, k), F.lit("")))), "\n")
@@ -90,21 +97,17 @@ def answer_prompt(question: Column, options: Column, context: Column) -> Column:
     return F.concat(F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question, F.lit("\n\nOptions:\n"), F.coalesce(rendered_options(options), F.lit("")), F.lit("\n\nAnswer with the letter of one option."))
 
 
-def response_matrix(results: DataFrame, questions: DataFrame | None = None, most_trials: int = 100_000) -> DataFrame:
+def response_matrix(results: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """``trial, question_id, correct`` (0 or 1), dense: an unanswered question counts 0; of repeated answers the last counts.
 
-    With ``questions(question_id)`` restricted to an exam.  The trials are few by nature; their number is
-    checked before they are spread over the questions as an array.
+    With ``questions(question_id)`` restricted to an exam.  The distinct trials, few by nature, are one
+    row that is spread over the questions; fewer than two trials give no matrix.
     """
     rows = results.filter("question_id IS NOT NULL")
     if questions is not None:
         rows = rows.join(questions.select("question_id").distinct(), "question_id", "left_semi")
     cells = rows.groupBy(F.col("trial_number").alias("trial"), "question_id").agg(F.max(F.struct("result_id", F.coalesce("correct", F.lit(False)).cast("int").alias("c"))).alias("x"))
     cells = cells.select("trial", "question_id", F.col("x.c").alias("correct"))
-    trials = sorted(r[0] for r in results.select("trial_number").distinct().limit(most_trials + 1).collect() if r[0] is not None)
-    if len(trials) > most_trials:
-        raise ValueError(f"more than {most_trials} trials")
-    if len(trials) < 2:
-        return cells.limit(0)
-    grid = rows.select("question_id").distinct().select("question_id", F.explode(F.array(*[F.lit(t) for t in trials])).alias("trial"))
+    trials = results.agg(F.sort_array(F.collect_set("trial_number")).alias("trials")).filter(F.size("trials") >= 2)
+    grid = rows.select("question_id").distinct().crossJoin(F.broadcast(trials)).select("question_id", F.explode("trials").alias("trial"))
     return grid.join(cells, ["trial", "question_id"], "left").select("trial", "question_id", F.coalesce("correct", F.lit(0)).alias("correct"))

@@ -42,9 +42,19 @@ class Space:
         data = yaml.safe_load(p.read_text(encoding="utf-8"))
         if not data:
             raise ValueError(f"{p} is empty")
+        unknown = sorted(set(data) - {"choices", "spans"}) if isinstance(data, dict) else ["a mapping is needed"]
+        if unknown:
+            raise ValueError(f"{p}: {unknown}")
         return Space({k: list(v) for k, v in data.get("choices", {}).items()}, {k: Span(*map(float, v)) for k, v in data.get("spans", {}).items()})
 
 
+    def as_json(self) -> str:
+        """The space as indented JSON, as a proposer is told of it."""
+        import json
+
+        return json.dumps({"choices": self.choices, "spans": {k: [s.low, s.high] for k, s in self.spans.items()}}, indent=2)
+
+
 def violations(trials: DataFrame, space: Space, config: str = "config") -> DataFrame:
     """Adds ``violations``: the config paths of each trial outside the space, in order of name; empty means valid.
 
@@ -55,10 +65,11 @@ def violations(trials: DataFrame, space: Space, config: str = "config") -> DataF
     return trials.withColumn("violations", F.filter(F.array(*named), lambda x: x.isNotNull()))
 
 
-def fingerprint(structural: Column) -> Column:
+def fingerprint(structural: Column, graph: Column | None = None) -> Column:
     """First twelve hex digits of the SHA-256 of the structural fields as JSON with sorted keys.
 
-    Settings that do not change the index are not part of it.
+    ``graph``, a struct of ``graph_backend`` and ``entity_types``, adds both, the types in sorted order; where it is null the
+    fingerprint is that without it.  Settings that do not change the index, such as a depth of traversal, are not part of it.
     """
     def text(name: str) -> Column:
         return F.concat(F.lit(f'"{name}": "'), F.coalesce(structural.getField(name), F.lit("")), F.lit('"'))
@@ -66,5 +77,11 @@ def fingerprint(structural: Column) -> Column:
     def number(name: str) -> Column:
         return F.concat(F.lit(f'"{name}": '), F.coalesce(structural.getField(name).cast("string"), F.lit("null")))
 
-    body = F.concat_ws(", ", number("chunk_overlap"), number("chunk_size"), text("chunking_strategy"), text("embedding_model"), text("index_type"), text("parser"))
+    first = [number("chunk_overlap"), number("chunk_size"), text("chunking_strategy"), text("embedding_model")]
+    last = [text("index_type"), text("parser")]
+    body = F.concat_ws(", ", *first, *last)
+    if graph is not None:
+        kinds = F.array_join(F.transform(F.array_sort(F.coalesce(graph["entity_types"], F.array().cast("array<string>"))), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+        more = [F.concat(F.lit('"entity_types": ['), kinds, F.lit("]")), F.concat(F.lit('"graph_backend": "'), F.coalesce(graph["graph_backend"], F.lit("")), F.lit('"'))]
+        body = F.when(graph.isNull(), body).otherwise(F.concat_ws(", ", *first, *more, *last))
     return F.substring(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), 1, 12)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import file_extension, stripped
+from corpusmill.runtime import ship_package
+
+log = logging.getLogger(__name__)
 
 TEXT_EXTENSIONS = (".md", ".txt")
 # Extensions each parser reads.
@@ -74,9 +78,11 @@ def read_corpus(spark: SparkSession, path: str, parser_name: str = "html") -> Da
 
     Hidden files and ``metadata.json`` are left out; Markdown and text files are read as UTF-8, files the parser
     handles are parsed, others have the error ``unsupported``; a file that fails to parse keeps its row with the error, and
-    blank texts are left out.  ``doc_id`` is a hash of the path, so it does not depend on the listing.
+    blank texts are left out.  ``doc_id`` is a hash of the path, so it does not depend on the listing.  A missing path is
+    an error; see :func:`documents` for one that must hold texts.
     """
     parse, reads = parser(parser_name), PARSER_EXTENSIONS[parser_name]
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.filter(~name.startswith(".") & (name != "metadata.json")).select("path", "content", file_extension(F.col("path")).alias("ext"))
@@ -102,6 +108,16 @@ def read_corpus(spark: SparkSession, path: str, parser_name: str = "html") -> Da
     return rows.filter("error IS NOT NULL OR text <> ''").select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
 
 
+def documents(corpus: DataFrame) -> DataFrame:
+    """``doc_id, path, text``: the texts of a corpus; a corpus without any is an error, files that failed are logged and skipped."""
+    counts = corpus.agg(F.count("text").alias("texts"), F.count("error").alias("failed")).first()
+    if counts["failed"]:
+        log.warning("%d files were skipped", counts["failed"])
+    if not counts["texts"]:
+        raise ValueError("the corpus holds no text")
+    return corpus.filter("error IS NULL").select("doc_id", "path", "text")
+
+
 def extensions(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """``extension``: distinct suffixes of the files that need a parser."""
     ext = file_extension(F.col(path_col))
@@ -118,8 +134,3 @@ def unsupported(paths: DataFrame, parsers: list[str], path_col: str = "path") ->
     missing = extensions(paths, path_col).select(F.explode(F.array(*[F.lit(p) for p in parsers])).alias("parser"), "extension").join(can, ["parser", "extension"], "left_anti")
     lists = missing.groupBy("parser").agg(F.array_join(F.sort_array(F.collect_set("extension")), ",").alias("missing"))
     return names.join(lists, "parser", "left").na.fill("", ["missing"])
-
-
-def corpus_lines(text: Column) -> Column:
-    """The text of a document as the loader keeps it."""
-    return stripped(text)

@@ -198,7 +198,7 @@ def simulated(n=10, m=40, seed=123):
 def test_fit():
     theta, x = simulated(30, 60)
     f = items.fit(x)
-    start = items.loss_and_gradient(np.concatenate([np.zeros(30), np.ones(60), np.full(60, 0.01), np.full(60, 0.25)]), x, np.ones_like(x, float))[0]
+    start = items.loss_and_gradient(np.concatenate([np.zeros(30), np.ones(60), np.full(60, 0.01), np.full(60, 0.25)]), *x.shape, *items._cells(x, None))[0]
     assert f.loss < start and (np.abs(f.abilities) <= 3).all()
     for v, k in ((f.discriminations, "a"), (f.difficulties, "b"), (f.guessings, "g")):
         assert (v >= items.BOUNDS[k][0] - 1e-12).all() and (v <= items.BOUNDS[k][1] + 1e-12).all()
@@ -206,11 +206,11 @@ def test_fit():
     rng = np.random.default_rng(0)
     p = np.concatenate([rng.normal(size=4), rng.uniform(0.5, 1.4, 5), rng.uniform(0.1, 0.9, 5), rng.uniform(0.21, 0.39, 5)])
     y, seen = rng.integers(0, 2, (4, 5)).astype(float), rng.integers(0, 2, (4, 5)).astype(float)
-    _, g = items.loss_and_gradient(p, y, seen)
+    _, g = items.loss_and_gradient(p, *y.shape, *items._cells(y, seen))
     for i in range(len(p)):
         e = np.zeros_like(p)
         e[i] = 1e-6
-        assert g[i] == pytest.approx((items.loss_and_gradient(p + e, y, seen)[0] - items.loss_and_gradient(p - e, y, seen)[0]) / 2e-6, abs=1e-5)
+        assert g[i] == pytest.approx((items.loss_and_gradient(p + e, *y.shape, *items._cells(y, seen))[0] - items.loss_and_gradient(p - e, *y.shape, *items._cells(y, seen))[0]) / 2e-6, abs=1e-5)
     with pytest.raises(ValueError):
         items.fit(np.zeros((1, 3)))
 
@@ -242,6 +242,9 @@ def test_cull_refine_and_exam_fits(spark):
     nll = items.total_loss(cells.filter("exam = 1").drop("exam"), who.filter("exam = 1").drop("exam"), what.filter("exam = 1").drop("exam")).first()["nll"]
     assert nll == pytest.approx(items.fit(x[:, np.argsort([f"i{j}" for j in range(8)])]).loss, rel=1e-6)
     assert items.information_curve(what, [0.0, 1.0]).count() == 2
+    who2, what2 = items.fit_exams(cells, task_cells=10)
+    alternating = items.total_loss(cells.filter("exam = 1").drop("exam"), who2.filter("exam = 1").drop("exam"), what2.filter("exam = 1").drop("exam")).first()["nll"]
+    assert what2.count() == what.count() and alternating <= nll * 1.05
 
 
 def test_corpus_folder(spark, tmp_path):
