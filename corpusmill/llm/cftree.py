@@ -4,8 +4,8 @@ Each partition condenses its vectors into leaf entries (count, linear sum); the
 of the tree are replaced by one matrix product against all leaf entries, whose number is
 bounded.  An entry absorbs a vector when the Ward increase stays under the tree's threshold;
 when a tree outgrows ``max_leaves`` the threshold rises and the leaves are condensed.  Summaries
-of partitions merge in rounds of eight until one is left, so no task and not the driver ever
-holds more than ``8 * max_leaves`` entries, however large the data.
+of partitions merge in rounds of eight, counted from the number of partitions, until one is left, so
+no task and not the driver ever holds more than ``8 * max_leaves`` entries, however large the data.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import BROADCAST_BYTES, default_parallelism
+from corpusmill.runtime import BROADCAST_BYTES
 
 from .vectors import DIM, as_list
 
@@ -163,7 +163,6 @@ def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, di
 
     A threshold above the given one tells that the tree was condensed.
     """
-    spark = units.sparkSession
     schema = "part long, n double, ls array<double>, t double"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,15 +185,13 @@ def summary(units: DataFrame, threshold: float, max_leaves: int = MAX_LEAVES, di
         tree.add(pdf["n"].to_numpy(dtype=np.float64)[order], ls[order])
         return _entries(tree, int(key[0]))
 
+    width = units.rdd.getNumPartitions()  # at most one summary a partition
     parts = units.select("u").mapInArrow(build, schema)
-    width = 1
-    while width * FAN_IN < default_parallelism(spark):
-        width *= FAN_IN
     while True:
+        width = -(-width // FAN_IN)
         parts = parts.withColumn("part", F.col("part") % width).groupBy("part").applyInPandas(join, schema)
-        if width == 1:
+        if width <= 1:
             break
-        width //= FAN_IN
     rows = parts.select("n", "ls", "t").toPandas()
     return rows["n"].to_numpy(dtype=np.float64), np.array(rows["ls"].tolist(), dtype=np.float64).reshape(-1, dim), float(rows["t"].max()) if len(rows) else threshold
 
@@ -238,10 +235,11 @@ def nearest(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM)
 def sums(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Counts and sums of the rows within ``lower`` of their nearest centre, by centre.
 
-    Each partition sums first; what is shuffled and sent to the driver is bounded by the
-    number of centres, not by the rows.
+    Each partition sums the rows of each centre it holds first; the partitions' sums are added by Spark's own
+    aggregation, in parts, so no task holds the rows of all partitions, and one row a centre reaches the driver.
     """
     ship = units.sparkSession.sparkContext.broadcast(centres.astype(np.float32))
+    names = [f"x{i}" for i in range(dim)]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = ship.value
@@ -253,25 +251,16 @@ def sums(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) ->
                 ok = top >= lower
                 np.add.at(n, best[ok], 1)
                 np.add.at(ls, best[ok], x[ok].astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c)) % FAN_IN), pa.array(np.arange(len(c))), pa.array(n), as_list(ls, pa.float64())], ["part", "c", "n", "ls"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        ls = np.array(pdf["ls"].tolist()).reshape(-1, dim)
-        ids, at = np.unique(pdf["c"].to_numpy(), return_inverse=True)
-        n, total = np.zeros(len(ids)), np.zeros((len(ids), dim))
-        np.add.at(n, at, pdf["n"].to_numpy())
-        np.add.at(total, at, ls)
-        return pd.DataFrame({"c": ids, "n": n, "ls": list(total)})
-
-    rows = (
-        units.select("u").mapInArrow(local, "part long, c long, n double, ls array<double>")
-        .groupBy("part").applyInPandas(add, "c long, n double, ls array<double>").toPandas()
-    )
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), *[pa.array(ls[some, i]) for i in range(dim)]], ["c", "n", *names])
+
+    local_sums = units.select("u").mapInArrow(local, "c long, n double, " + ", ".join(f"{x} double" for x in names))
+    rows = local_sums.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("n", *names)]).toArrow()
     n, ls = np.zeros(len(centres)), np.zeros((len(centres), dim))
-    if len(rows):
-        at = rows["c"].to_numpy()
-        n[at] = rows["n"].to_numpy()
-        ls[at] = np.array(rows["ls"].tolist()).reshape(-1, dim)
+    at = rows.column("c").to_numpy()
+    n[at] = rows.column("n").to_numpy()
+    for i, x in enumerate(names):
+        ls[at, i] = rows.column(x).to_numpy()
     return n, ls
 
 

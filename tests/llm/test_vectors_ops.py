@@ -213,3 +213,21 @@ def test_groups_of_copies(spark):
 def test_neighbours_of_few(spark):
     assert neighbours.close_pairs(frame(spark, [])).count() == 0
     assert neighbours.nearest(frame(spark, rows(np.eye(64)[:1]))).count() == 0
+
+
+@pytest.mark.parametrize("k", [50, 300, 800])
+def test_many_clusters(spark, k):
+    rng = np.random.default_rng(k)
+    centres: list[np.ndarray] = []
+    while len(centres) < k:  # sparse sign vectors of pairwise cosine at most 0.25
+        v = np.zeros(64)
+        v[rng.permutation(64)[:8]] = rng.choice([-1, 1], 8) / 8**0.5
+        if not centres or (np.array(centres) @ v).max() < 0.3:
+            centres.append(v)
+    label = np.repeat(np.arange(k), rng.integers(5, 25, k))
+    label = label[rng.permutation(len(label))]
+    x = np.array(centres)[label] + rng.normal(size=(len(label), 64)) * 0.08
+    got = clusters.named(clusters.clusters(spark.createDataFrame(rows(x), SCHEMA).repartition(6))).collect()
+    first = {c: f"v{int(np.flatnonzero(label == c)[0]):05d}" for c in range(k)}
+    found = {(r["id"], r["group_id"]) for r in got}
+    assert sum((f"v{i:05d}", first[c]) in found for i, c in enumerate(label)) >= 0.95 * len(label)
