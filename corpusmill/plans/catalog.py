@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from corpusmill.plans import corpus, exams, items, scores, searches  # noqa: E402, F401  (they register their queries)
+from corpusmill.plans import corpus, exams, items, pipelines, scores, searches  # noqa: E402, F401  (they register their queries)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import answers
+from corpusmill.functions.vectors import cosine, hash_embed
 from corpusmill.operators import exam
 from corpusmill.plans.catalog import query
-from corpusmill.plans.searches import _TOK
-from corpusmill.runtime import table
+from corpusmill.plans.searches import _TOK, _embed_sql
+from corpusmill.runtime import table, written
 
 # the pool without repeated rows; clusters by label
 _POOL = """pool AS (SELECT id, min(question) AS question, min(cluster_id) AS cluster_id FROM mcq_question WHERE id IS NOT NULL GROUP BY id)"""
@@ -62,7 +63,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_POOL}, {_SIZES}, {_ALLOC},
-c AS (SELECT id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42|' || cluster_id || '|' || id), id) AS turn, question IS NOT NULL AND length(question) % 2 = 0 AS ok FROM pool WHERE cluster_id IS NOT NULL),
+c AS (SELECT id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42|' || cluster_id || '|' || id), id) AS turn, question IS NOT NULL AND lower(question) LIKE '%e%' AND length(question) % 3 > 0 AS ok FROM pool WHERE cluster_id IS NOT NULL),
 r AS (SELECT c.*, slots, row_number() OVER (PARTITION BY c.cluster_id ORDER BY turn) AS n FROM c JOIN alloc USING (cluster_id) WHERE ok)
 SELECT id, cluster_id, turn::INT AS turn FROM r WHERE n <= slots
 """)
@@ -73,7 +74,7 @@ def take_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pool(spark, sf_dir).filter("cluster_id IS NOT NULL")
     key = F.md5(F.concat_ws("|", F.lit("42"), F.col("cluster_id").cast("string"), "id"))
     rows = pool.withColumn("turn", F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "id")))
-    rows = rows.withColumn("ok", F.col("question").isNotNull() & (F.length("question") % 2 == 0))
+    rows = rows.withColumn("ok", F.col("question").isNotNull() & F.lower("question").contains("e") & (F.length("question") % 3 > 0))
     return exam.accepted(rows, exam.allocate(_sizes(pool), 50)).select("id", "cluster_id", "turn")
 
 
@@ -84,13 +85,26 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exam.kmeans_labels(rows, 10)
 
 
-@query()
+@query("""
+WITH g AS (SELECT label, list([{'id': vec_id, 'v': embedding::DOUBLE[]}] ORDER BY vec_id) AS l FROM embeddings GROUP BY label),
+k AS (SELECT label, unnest(list_reduce(l, lambda acc, x: CASE WHEN list_bool_or(list_transform(acc, lambda a: round(list_cosine_similarity(a.v, x[1].v), 9) > 0.3)) THEN acc ELSE list_concat(acc, x) END)) AS e FROM g)
+SELECT label, e.id AS pos FROM k
+""")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of each label kept by a greedy walk in order of id that drops those of cosine above 0.3 to a kept one."""
     rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     return exam.greedy_kept(rows, exam.close_edges(rows, 0.3, "label"), "label").withColumnRenamed("grp", "label")
 
 
+_QUALITY_VECTORS = f"""c AS (SELECT chunk_id, min(text) AS chunk FROM chunk GROUP BY chunk_id),
+m AS (SELECT * FROM (SELECT id, options, correct_answer, source_chunk_id, row_number() OVER (PARTITION BY id ORDER BY options::VARCHAR, correct_answer, source_chunk_id) AS n FROM mcq_question WHERE id IS NOT NULL AND options IS NOT NULL) WHERE n = 1),
+r AS (SELECT id, correct_answer, options, chunk FROM m JOIN c ON chunk_id = source_chunk_id WHERE list_contains(map_keys(options), correct_answer)),
+t AS (SELECT id || '|' || k AS key, map_extract(options, k)[1] AS txt FROM (SELECT *, unnest(map_keys(options)) AS k FROM r) UNION ALL SELECT id || '|chunk', chunk FROM r),
+{_embed_sql("ev", "key", "txt", "t")},
+x AS (SELECT r.id, cv.v AS c, rv.v AS r, wv.v AS w FROM (SELECT *, unnest(map_keys(options)) AS k FROM r) r LEFT JOIN ev cv ON cv.id = r.id || '|chunk' LEFT JOIN ev rv ON rv.id = r.id || '|' || correct_answer LEFT JOIN ev wv ON wv.id = r.id || '|' || k WHERE k <> correct_answer)
+SELECT id, bool_or(coalesce(round(list_cosine_similarity(c, r), 6), 0) + 0.05 < coalesce(round(list_cosine_similarity(c, w), 6), 0)) AS too_close_to_text, bool_or(coalesce(round(list_cosine_similarity(r, w), 6), 0) >= 0.85) AS too_alike FROM x GROUP BY id"""
+
+
 def _jac(a: str, b: str) -> str:
     """DuckDB n-gram Jaccard of the token lists a and b with n grams."""
     g = "list_distinct(list_transform(generate_series(1, greatest(len({0}) - n + 1, 1)), lambda i: array_to_string({0}[i:i + n - 1], ' ')))"
@@ -119,6 +133,28 @@ def discriminator_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exam.option_quality(rows).select("id", "too_close_to_text", "too_alike", "good").distinct()
 
 
+@query(f"WITH {_QUALITY_VECTORS}")
+def discriminator_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine half of the distractors' quality, with hashed embeddings of chunk and options."""
+    chunk = table(spark, sf_dir, "chunk").groupBy("chunk_id").agg(F.min("text").alias("chunk"))
+    q = table(spark, sf_dir, "mcq_question", wide=True).filter("id IS NOT NULL AND options IS NOT NULL")
+    q = q.groupBy("id").agg(F.min(F.struct(F.array_sort(F.map_entries("options")).alias("e"), "correct_answer", "source_chunk_id")).alias("x")).select("id", "x.*")
+    rows = written(q.join(chunk, F.col("source_chunk_id") == F.col("chunk_id")).select("id", "correct_answer", "chunk", F.map_from_entries("e").alias("options")), "quality")
+    texts = rows.select("id", F.explode(F.map_concat("options", F.create_map(F.lit("chunk"), F.col("chunk")))).alias("k", "t")).select(F.concat_ws("|", "id", "k").alias("key"), "id", "k", "t")
+    made = hash_embed(texts, "key", "t").withColumnRenamed("id", "key").join(texts.select("key", "id", "k"), "key")
+    vecs = made.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "vector"))).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), 64)
+    full = rows.join(vecs, "id").withColumn("chunk_vec", F.coalesce(F.try_element_at("v", F.lit("chunk")), zero))
+    full = full.withColumn("option_vecs", F.map_from_entries(F.transform(F.map_keys("options"), lambda k: F.struct(k.alias("k"), F.coalesce(F.try_element_at("v", k), zero).alias("v")))))
+    rv = F.element_at("option_vecs", F.col("correct_answer"))
+    wrong = F.filter(F.map_keys("options"), lambda k: k != F.col("correct_answer"))
+    judged = full.filter(F.map_contains_key("options", F.col("correct_answer"))).select("id", F.explode(wrong).alias("k"), "chunk_vec", rv.alias("rv"), F.col("option_vecs").alias("o"))
+    w = F.element_at("o", F.col("k"))
+    close = F.round(cosine(F.col("chunk_vec"), F.col("rv")), 6) + exam.EXTRA_COSINE < F.round(cosine(F.col("chunk_vec"), w), 6)
+    alike = F.round(cosine(F.col("rv"), w), 6) >= exam.INTRA_COSINE
+    return judged.groupBy("id").agg(F.bool_or(close).alias("too_close_to_text"), F.bool_or(alike).alias("too_alike"))
+
+
 @query("""
 SELECT DISTINCT id, coalesce(list_sort(map_keys(options)) = ['A', 'B', 'C', 'D'] AND correct_answer IN ('A', 'B', 'C', 'D'), false) AS ok FROM mcq_question
 """)

@@ -150,7 +150,7 @@ def evaluate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPACE = space.Space(
     {"structural.parser": ["pymupdf4llm", "docling"], "structural.chunking_strategy": ["recursive"], "structural.index_type": ["vector_only", "hybrid_bm25_vector"],
-     "runtime.reranker": ["none"], "runtime.query_expansion": ["none", "hyde"]},
+     "runtime.reranker": ["none"], "runtime.query_expansion": ["none", "hyde"], "structural.embedding_model": ["local/enc-mini", "local/enc-base"], "runtime.llm_model": ["local/gen-3b", "local/gen-7b"]},
     {"structural.chunk_size": space.Span(256, 1024), "structural.chunk_overlap": space.Span(0, 128), "runtime.top_k": space.Span(3, 10),
      "runtime.hybrid_alpha": space.Span(0, 0.5), "runtime.reranker_top_n": space.Span(3, 10), "runtime.temperature": space.Span(0, 0.5)},
 )

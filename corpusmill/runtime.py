@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side is broadcast once its size has been measured.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Bytes of a table that may be spread over the cores before costly work.
+WIDE_BYTES = 1 << 30
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -33,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> Da
     """One of the test tables as a DataFrame.
 
     With ``wide`` a table whose scan has fewer tasks than there are cores, as a single small file has, is spread over
-    all of them before costly work on its rows; a scan with enough tasks, as of any large table, is left as it is.
+    all of them before costly work on its rows; a scan with enough tasks, and any table of more than ``WIDE_BYTES``, is
+    left as it is, so what this shuffles is bounded on any cluster.
     """
     ship_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if wide:
         cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() * 2 <= cores:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size <= WIDE_BYTES and df.rdd.getNumPartitions() * 2 <= cores:
             return df.repartition(cores)
     return df
 
@@ -66,14 +71,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The result survives lost executors and is columnar, so later readers prune columns.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_corpusmill_written"):
+        sc._corpusmill_written = []
+        atexit.register(discard_written, spark)
+    sc._corpusmill_written.append(path)
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def fixed_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small driver-made table."""
-    return spark.createDataFrame(rows, schema)
+def discard_written(spark: SparkSession) -> None:
+    """Delete the tables written so far, once the results that read them are saved; also done when Python ends."""
+    sc = spark.sparkContext
+    paths = getattr(sc, "_corpusmill_written", [])
+    if sc._jsc is None:  # the session has ended before
+        return
+    while paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -87,8 +104,8 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def local_session(cpus: int | str = "*", app: str = "corpusmill") -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
-    return (
+    """A local session with the settings the tests and the bench use, the package shipped to its workers."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE", "8"))
@@ -100,3 +117,5 @@ def local_session(cpus: int | str = "*", app: str = "corpusmill") -> SparkSessio
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
