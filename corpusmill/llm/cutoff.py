@@ -60,7 +60,7 @@ _LAST = r""", line AS (
   FROM (
     SELECT id, right(b, 16) RLIKE '{left}' AS left_behind,
            ((length(b) - length(replace(b, '```', ''))) / 3) % 2 = 1 AS open_block,
-           xxhash64(regexp_replace(right(b, 300), '\\s+', '')) AS tail,
+           xxhash64(translate(b, ' \t\r\n', '')) AS tail,
            CASE WHEN contains(b, '```') THEN substring_index(b, '```', -1) ELSE b END AS e
     FROM body WHERE b <> ''
   )
@@ -121,8 +121,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     the trigram's own share is below the threshold), or the trigram's ``shape`` (too rare for a share of its own).
 
     Defined results: null, empty and blank texts have no row; repeated rows and copies get a
-    row each, and a copy counts as another text's end only once for each different text
-    of the same ending; ties cannot arise; extra columns are ignored, whatever their names.
+    row each, and texts that differ in white space alone count as one text's end; ties cannot arise; extra columns are ignored, whatever their names.
     The whole text is read, however long.
     """
     spark = docs.sparkSession
