@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import answers
 from corpusmill.functions.text import self_contained
 from corpusmill.operators import exam
-from corpusmill.providers import Embedder, HashEmbedder
+from corpusmill.providers import Embedder, Generator, HashEmbedder
 from corpusmill.runtime import written
 
 MCQ = "question string, options map<string,string>, correct_answer string, reasoning string"
@@ -20,12 +20,31 @@ ATTEMPTS, AHEAD = 3, 2
 SAME_QUESTION = 0.90
 
 
+def question_prompt(text: Column, domain: Column | None = None) -> Column:
+    """What a model is asked for a question about a text: the form of the answer, the domain where one is known, and the text."""
+    about = F.coalesce(domain, F.lit("the subject of the text")) if domain is not None else F.lit("the subject of the text")
+    return F.concat(
+        F.lit('Write one multiple-choice question about '), about, F.lit(' that can be answered without seeing the text.\nReply with a JSON object with the fields "question", "options" (the texts of A, B, C and D), '
+                                                                      '"correct_answer" (one of the letters) and "reasoning".\n\nText:\n'), F.coalesce(text, F.lit("")))
+
+
 class QuestionGenerator(Protocol):
     """Adds ``generated``, the text of a question about ``text``, to rows ``id, text, ...``; null where none could be made."""
 
     def generate(self, rows: DataFrame, attempt: int) -> DataFrame: ...
 
 
+class ModelQuestions:
+    """Asks a text model, an answer generator of prompts, for the question; a failed call leaves a null and so another attempt."""
+
+    def __init__(self, generator: Generator, domain: str | None = None) -> None:
+        self.generator, self.domain = generator, domain
+
+    def generate(self, rows: DataFrame, attempt: int) -> DataFrame:
+        asked = rows.withColumn("prompt", question_prompt(F.col("text"), F.lit(self.domain))).withColumn("options", F.lit(None).cast("map<string,string>")).withColumn("context", F.col("text"))
+        return self.generator.generate(asked).withColumnRenamed("response", "generated")
+
+
 class ClozeGenerator:
     """The offline generator: asks which words follow the first six of a chunk; the distractors continue other chunks.
 

@@ -11,6 +11,7 @@ from corpusmill.operators import chunking
 from corpusmill.plans.catalog import query
 from corpusmill.runtime import table
 from corpusmill.sources import corpus as src
+from corpusmill.sources import parsers
 
 # DuckDB forms of Unicode white space trimming and of terms
 STRIP = r"regexp_replace(regexp_replace({}, '^[\s\p{{Z}}\x{{0085}}\x0b]+', ''), '[\s\p{{Z}}\x{{0085}}\x0b]+$', '')"
@@ -121,7 +122,7 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @pandas_udf("string")
     def read(s):
-        return s.map(src.html_text)
+        return s.map(parsers.html_text)
 
     page = F.concat(F.lit("<html><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[<&]", " "), F.lit("</p></body></html>"))
     return table(spark, sf_dir, "documents", wide=True).select("doc_id", F.md5(read(page)).alias("digest"))

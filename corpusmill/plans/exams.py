@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import answers
@@ -69,8 +69,6 @@ SELECT id, cluster_id, turn::INT AS turn FROM r WHERE n <= slots
 """)
 def take_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each cluster walked in order until its slots are filled with accepted ones."""
-    from pyspark.sql import Window
-
     pool = _pool(spark, sf_dir).filter("cluster_id IS NOT NULL")
     key = F.md5(F.concat_ws("|", F.lit("42"), F.col("cluster_id").cast("string"), "id"))
     rows = pool.withColumn("turn", F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "id")))
@@ -96,6 +94,22 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exam.greedy_kept(rows, exam.close_edges(rows, 0.3, "label"), "label").withColumnRenamed("grp", "label")
 
 
+@query(f"""
+WITH {_POOL}, asked AS (SELECT id, cluster_id, question FROM pool WHERE question IS NOT NULL AND cluster_id IS NOT NULL),
+{_embed_sql("ev", "id", "question", "asked")},
+g AS (SELECT cluster_id, list([{{'id': asked.id, 'v': ev.v}}] ORDER BY asked.id) AS l FROM asked JOIN ev ON ev.id = asked.id GROUP BY cluster_id),
+k AS (SELECT cluster_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN list_bool_or(list_transform(acc, lambda a: round(list_cosine_similarity(a.v, x[1].v), 9) > 0.9)) THEN acc ELSE list_concat(acc, x) END)) AS e FROM g)
+SELECT cluster_id, e.id AS id FROM k
+""")
+def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of each cluster label kept by a greedy walk in order of id that drops those of cosine above 0.9 to a kept one."""
+    pool = _pool(spark, sf_dir).filter("question IS NOT NULL AND cluster_id IS NOT NULL")
+    numbered = written(pool.withColumn("pos", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")).cast("long")), "numbered")
+    vectors = hash_embed(numbered, "id", "question").join(numbered.select("id", "cluster_id", "pos"), "id")
+    kept = exam.greedy_kept(vectors, exam.close_edges(vectors, 0.9, "cluster_id"), "cluster_id")
+    return kept.withColumnRenamed("grp", "cluster_id").join(numbered.select("cluster_id", "pos", "id"), ["cluster_id", "pos"]).select("cluster_id", "id")
+
+
 _QUALITY_VECTORS = f"""c AS (SELECT chunk_id, min(text) AS chunk FROM chunk GROUP BY chunk_id),
 m AS (SELECT * FROM (SELECT id, options, correct_answer, source_chunk_id, row_number() OVER (PARTITION BY id ORDER BY options::VARCHAR, correct_answer, source_chunk_id) AS n FROM mcq_question WHERE id IS NOT NULL AND options IS NOT NULL) WHERE n = 1),
 r AS (SELECT id, correct_answer, options, chunk FROM m JOIN c ON chunk_id = source_chunk_id WHERE list_contains(map_keys(options), correct_answer)),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import irt
 from corpusmill.operators import items as op
-from corpusmill.operators import scoring
 from corpusmill.plans.catalog import query
 from corpusmill.plans.scores import ONCE, _once
 from corpusmill.runtime import table
@@ -80,11 +79,13 @@ def cull_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {ONCE}, {_ITEMS}
-SELECT count(*)::BIGINT AS items, count_if(a < 0.3)::BIGINT AS weak, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, (SELECT count(DISTINCT trial_number) FROM once)::BIGINT AS trials FROM items
+WITH {ONCE}, {_ITEMS}, th AS (SELECT trial_number, round(4.0 * count_if(coalesce(correct, false)) / count(*) - 2, 6) AS theta FROM once GROUP BY trial_number)
+SELECT count(*)::BIGINT AS items, count_if(a < 0.3)::BIGINT AS weak, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, (SELECT count(DISTINCT trial_number) FROM th)::BIGINT AS trials,
+  (SELECT min(theta) FROM th) AS least_ability, (SELECT max(theta) FROM th) AS most_ability FROM items
 """)
 def irt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and means of the pool's item parameters."""
-    trials = scoring.delivered_once(table(spark, sf_dir, "question_result").select("result_id", "loaded_at", "trial_number")).agg(F.countDistinct("trial_number").alias("trials"))
+    """Counts and means of the pool's item parameters, and the range of abilities read off the scores."""
+    theta = _once(spark, sf_dir).groupBy("trial_number").agg(F.round(4.0 * F.count_if(F.coalesce("correct", F.lit(False))) / F.count(F.lit(1)) - 2, 6).alias("theta"))
+    trials = theta.agg(F.countDistinct("trial_number").alias("trials"), F.min("theta").alias("least_ability"), F.max("theta").alias("most_ability"))
     rows = _items(spark, sf_dir).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("a") < 0.3).alias("weak"), F.round(F.avg("a"), 6).alias("mean_a"), F.round(F.avg("b"), 6).alias("mean_b"))
-    return rows.crossJoin(trials)
+    return rows.crossJoin(F.broadcast(trials))  # one row each

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import file_extension, stripped
 from corpusmill.runtime import ship_package
+from corpusmill.sources import parsers
 
 log = logging.getLogger(__name__)
 
@@ -24,68 +24,34 @@ PARSER_EXTENSIONS = {
 }
 
 
-class _Text(HTMLParser):
-    BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "pre"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
-            if tag[0] == "h" and tag[1:].isdigit():
-                self.out.append("#" * int(tag[1]) + " ")
-            elif tag == "li":
-                self.out.append("- ")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(data)
-
-
-def html_text(content: bytes | str | None) -> str | None:
-    """Text of an HTML page with headings and list items as in Markdown; null stays null."""
-    if content is None:
-        return None
-    p = _Text()
-    p.feed(content.decode("utf-8", "replace") if isinstance(content, (bytes, bytearray)) else content)
-    lines = [" ".join(x.split()) for x in "".join(p.out).split("\n")]
-    return "\n".join(x for x in lines if x)
-
-
-PARSERS: dict[str, Callable[[bytes], str | None]] = {"html": html_text}
+PARSERS: dict[str, Callable[[bytes, str], str | None]] = {
+    "html": lambda content, ext: parsers.html_text(content),
+    "pymupdf4llm": lambda content, ext: parsers.pdf_text(content),
+    "docling": parsers.office_text,
+}
 
 
-def parser(name: str) -> Callable[[bytes], str | None]:
+def parser(name: str) -> Callable[[bytes, str], str | None]:
     """A registered parser; others are an error that names those there are."""
     if name not in PARSERS:
         raise ValueError(f"unknown parser {name!r}; available: {sorted(PARSERS)}")
     return PARSERS[name]
 
 
-def read_corpus(spark: SparkSession, path: str, parser_name: str = "html") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, parser_name: str = "html", lenient: bool = False) -> DataFrame:
     """``doc_id, path, text, error``: the files below ``path`` in order of path.
 
     Hidden files and ``metadata.json`` are left out; Markdown and text files are read as UTF-8, files the parser
     handles are parsed, others have the error ``unsupported``; a file that fails to parse keeps its row with the error, and
-    blank texts are left out.  ``doc_id`` is a hash of the path, so it does not depend on the listing.  A missing path is
+    blank texts are left out.  With ``lenient`` hidden files are read, all JSON files left out, broken UTF-8 is replaced, and
+    texts are kept as they are, blank ones too.  ``doc_id`` is a hash of the path, so it does not depend on the listing.  A missing path is
     an error; see :func:`documents` for one that must hold texts.
     """
     parse, reads = parser(parser_name), PARSER_EXTENSIONS[parser_name]
     ship_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.filter(~name.startswith(".") & (name != "metadata.json")).select("path", "content", file_extension(F.col("path")).alias("ext"))
+    files = files.filter(~F.lower(name).endswith(".json") if lenient else ~name.startswith(".") & (name != "metadata.json")).select("path", "content", file_extension(F.col("path")).alias("ext"))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -94,9 +60,9 @@ def read_corpus(spark: SparkSession, path: str, parser_name: str = "html") -> Da
                 text = error = None
                 try:
                     if ext in TEXT_EXTENSIONS:
-                        text = bytes(content).decode("utf-8")
+                        text = bytes(content).decode("utf-8", "replace" if lenient else "strict")
                     elif ext in reads:
-                        text = parse(bytes(content))
+                        text = parse(bytes(content), ext)
                     else:
                         error = "unsupported"
                 except Exception as e:  # a broken file must not fail the job
@@ -104,8 +70,10 @@ def read_corpus(spark: SparkSession, path: str, parser_name: str = "html") -> Da
                 texts.append(text), errors.append(error)
             yield pd.DataFrame({"path": pdf["path"], "text": texts, "error": errors})
 
-    rows = files.mapInPandas(read, "path string, text string, error string").withColumn("text", stripped(F.col("text")))
-    return rows.filter("error IS NOT NULL OR text <> ''").select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
+    rows = files.mapInPandas(read, "path string, text string, error string")
+    if not lenient:
+        rows = rows.withColumn("text", stripped(F.col("text"))).filter("error IS NOT NULL OR text <> ''")
+    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
 
 
 def documents(corpus: DataFrame) -> DataFrame:

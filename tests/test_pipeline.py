@@ -80,7 +80,7 @@ def test_evaluate_gives_every_question_a_row(spark, index):
     got = {r["question_id"]: r for r in pipeline.evaluate(exam, hits, ModelGenerator(model)).collect()}
     assert got["q1"]["selected_answer"] == "A" and got["q2"]["selected_answer"] == "INVALID" and got["q2"]["generated_response"] == pipeline.ERROR_RESPONSE
     text = pipeline.failure_text(pipeline.evaluate(exam, hits, ModelGenerator(model)), exam).first()["text"]
-    assert text.startswith("1. Question: what does sourdough") and "\n\n2. Question: nothing" in text
+    assert text.startswith("1. Question: what does sourdough") and "\n\n2. Question: \n" in text
     assert pipeline.evaluate(exam.limit(0), hits, OverlapGenerator()).count() == 0
 
 
@@ -218,3 +218,57 @@ def test_fingerprint_with_graph(spark):
     df = spark.createDataFrame(rows, f"s {kind}, g struct<graph_backend:string,entity_types:array<string>>")
     a, b, c = [r[0] for r in df.select(fingerprint(F.col("s"), F.col("g"))).collect()]
     assert a == b != c and c == df.select(fingerprint(F.col("s"))).first()[0]
+
+
+def test_questions_of_a_model(spark):
+    def model():
+        def reply(prompt):
+            text = prompt.rsplit("Text:", 1)[1].strip()
+            if text == "broken":
+                raise RuntimeError("no reply")
+            return json.dumps({"question": f"What about {text}?", "options": {k: f"{k} {text} of a kind" for k in "ABCD"}, "correct_answer": "D", "reasoning": "r"})
+
+        return reply
+
+    rows = spark.createDataFrame([("one", "lamps"), ("two", "broken")], "id string, text string")
+    got = generation.questions_of(rows, generation.ModelQuestions(ModelGenerator(model))).collect()
+    assert [(r["id"], r["question"]) for r in got] == [("one", "What about lamps?")]
+
+
+def _zip(**files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name.replace("__", "/").replace("_xml", ".xml"), text)
+    return out.getvalue()
+
+
+def test_parsers(spark, tmp_path):
+    import zlib
+
+    from corpusmill.sources import parsers
+
+    w = 'xmlns:w="w"'
+    docx = _zip(word__document_xml=f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>A </w:t></w:r><w:r><w:t>line.</w:t></w:r></w:p></w:body></w:document>')
+    assert parsers.docx_text(docx) == "# Title\n\nA line."
+    pptx = _zip(ppt__slides__slide2_xml='<s xmlns:a="a"><a:p><a:t>two</a:t></a:p></s>', ppt__slides__slide1_xml='<s xmlns:a="a"><a:p><a:t>one</a:t></a:p></s>')
+    assert parsers.pptx_text(pptx) == "one\n\ntwo"
+    xlsx = _zip(xl__sharedStrings_xml="<sst><si><t>name</t></si></sst>", xl__worksheets__sheet1_xml='<ws><row><c t="s"><v>0</v></c><c><v>7</v></c></row><row><c t="inlineStr"><is><t>x</t></is></c></row></ws>')
+    assert parsers.xlsx_text(xlsx) == "| name | 7 |\n| --- | --- |\n| x |  |"
+    assert parsers.csv_text(b"a,b\n1,2\n") == "| a | b |\n| --- | --- |\n| 1 | 2 |"
+    page = zlib.compress(rb"BT /F1 12 Tf 72 700 Td (One sentence \(here\).) Tj T* <4142> Tj ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\n" + page + b"\nendstream\nendobj\n"
+    assert parsers.pdf_text(pdf) == "One sentence (here).\nAB"
+    (tmp_path / "a.pdf").write_bytes(pdf)
+    (tmp_path / "b.docx").write_bytes(docx)
+    (tmp_path / "c.png").write_bytes(b"x")
+    (tmp_path / "d.docx").write_bytes(b"broken")
+    (tmp_path / ".e.md").write_bytes(b"hidden \xff ")
+    (tmp_path / "f.json").write_text("{}")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in corpus.read_corpus(spark, str(tmp_path), "docling").collect()}
+    assert got["a.pdf"][0].startswith("One sentence") and got["b.docx"][0].startswith("# Title") and got["c.png"][1] and got["d.docx"][1] and got["f.json"][1] == "unsupported" and ".e.md" not in got
+    loose = {r["path"].rsplit("/", 1)[1]: r["text"] for r in corpus.read_corpus(spark, str(tmp_path), "pymupdf4llm", lenient=True).collect()}
+    assert loose[".e.md"] == "hidden \ufffd " and "f.json" not in loose and loose["a.pdf"].startswith("One")
