@@ -43,8 +43,8 @@ def read_corpus(spark: SparkSession, path: str, parser_name: str = "html", lenie
 
     Hidden files and ``metadata.json`` are left out; Markdown and text files are read as UTF-8, files the parser
     handles are parsed, others have the error ``unsupported``; a file that fails to parse keeps its row with the error, and
-    blank texts are left out.  With ``lenient`` hidden files are read, all JSON files left out, broken UTF-8 is replaced, and
-    texts are kept as they are, blank ones too.  ``doc_id`` is a hash of the path, so it does not depend on the listing.  A missing path is
+    blank texts are left out.  Spark never lists names that start with a dot or an underscore. With ``lenient`` all JSON
+    files are left out, broken UTF-8 is replaced, and texts are kept as they are, blank ones too.  ``doc_id`` is a hash of the path, so it does not depend on the listing.  A missing path is
     an error; see :func:`documents` for one that must hold texts.
     """
     parse, reads = parser(parser_name), PARSER_EXTENSIONS[parser_name]

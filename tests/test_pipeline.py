@@ -266,9 +266,10 @@ def test_parsers(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(docx)
     (tmp_path / "c.png").write_bytes(b"x")
     (tmp_path / "d.docx").write_bytes(b"broken")
-    (tmp_path / ".e.md").write_bytes(b"hidden \xff ")
+    (tmp_path / ".e.md").write_bytes(b"hidden")
+    (tmp_path / "g.md").write_bytes(b"broken \xff ")
     (tmp_path / "f.json").write_text("{}")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in corpus.read_corpus(spark, str(tmp_path), "docling").collect()}
-    assert got["a.pdf"][0].startswith("One sentence") and got["b.docx"][0].startswith("# Title") and got["c.png"][1] and got["d.docx"][1] and got["f.json"][1] == "unsupported" and ".e.md" not in got
+    assert got["a.pdf"][0].startswith("One sentence") and got["b.docx"][0].startswith("# Title") and got["c.png"][1] and got["d.docx"][1] and got["f.json"][1] == "unsupported" and got["g.md"][1] and ".e.md" not in got
     loose = {r["path"].rsplit("/", 1)[1]: r["text"] for r in corpus.read_corpus(spark, str(tmp_path), "pymupdf4llm", lenient=True).collect()}
-    assert loose[".e.md"] == "hidden \ufffd " and "f.json" not in loose and loose["a.pdf"].startswith("One")
+    assert loose["g.md"] == "broken \ufffd " and ".e.md" not in loose and "f.json" not in loose and loose["a.pdf"].startswith("One")
