@@ -78,10 +78,12 @@ class Sampler:
         low = np.minimum.reduceat(log_a, start, axis=0)
         bag = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
         # the entry that reaches the minimum; of equal ones the one with the largest code
+        i, j = np.nonzero(log_a <= low[bag])
         with np.errstate(over="ignore"):
-            code = mix(self.hashes[word][:, None] ^ mix(t.astype(np.int64).astype(np.uint64)))
-        code[log_a > low[bag]] = 0
-        drawn = np.maximum.reduceat(code, start, axis=0).reshape(len(start), -1, rows)
+            code = mix(self.hashes[word[i]] ^ mix(t[i, j].astype(np.int64).astype(np.uint64)))
+        drawn = np.zeros(low.shape, np.uint64)
+        np.maximum.at(drawn, (bag[i], j), code)
+        drawn = drawn.reshape(len(start), -1, rows)
         out = mix(np.broadcast_to(np.arange(drawn.shape[1], dtype=np.uint64), drawn.shape[:2]))
         for j in range(rows):
             with np.errstate(over="ignore"):
@@ -93,7 +95,7 @@ def bags(df: DataFrame, id_col: str, text_cols: list[str], map_cols: list[str])
     """``id, bag, h``: the sorted lower-case words of each row, joined by blanks, and their hash."""
     parts = [F.col(f"`{c}`") for c in text_cols] + [F.array_join(F.map_values(F.col(f"`{c}`")), " ") for c in map_cols]
     rows = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_cols[0]}`").isNotNull())
-    words = F.array_sort(F.regexp_extract_all(F.lower(F.concat_ws(" ", *parts)), F.lit(r"[\pL\pN_]+"), F.lit(0)))
+    words = F.sort_array(F.regexp_extract_all(F.lower(F.concat_ws(" ", *parts)), F.lit(r"[\pL\pN_]+"), F.lit(0)))
     return rows.select(F.col(f"`{id_col}`").alias("id"), F.array_join(words, " ").alias("bag")).withColumn("h", F.unhex(F.md5("bag")))
 
 
