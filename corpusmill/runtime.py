@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -76,7 +77,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     sc = spark.sparkContext
     if not hasattr(sc, "_corpusmill_written"):
         sc._corpusmill_written = []
-        atexit.register(discard_written, spark)
+        atexit.register(_discard_at_end, spark)
     sc._corpusmill_written.append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -93,6 +94,11 @@ def discard_written(spark: SparkSession) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _discard_at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        discard_written(spark)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the measured ``rows`` times ``row_bytes`` stay under ``limit``."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
