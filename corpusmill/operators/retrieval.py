@@ -43,6 +43,22 @@ def top_ranked(scored: DataFrame, k: int, by: list[Column], key: str = "qid") ->
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The ``k`` best scores of each query that a task has seen, larger is better."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.top = k, np.full((queries, k), -np.inf)
+
+    def keep(self, first: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of the scores of a block, whose first query is ``first``, that can still be among the best; ties are kept, scores that are no number never."""
+        s[np.isnan(s)] = -np.inf
+        part = s if s.shape[1] <= self.k else np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k :]
+        both = np.concatenate([self.top[first : first + len(s)], part], axis=1)
+        now = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
+        self.top[first : first + len(s)] = now
+        return np.nonzero((s >= now.min(axis=1)[:, None]) & (s > -np.inf))
+
+
 def _impacts(tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float) -> np.ndarray:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -113,6 +129,7 @@ def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (term, start), idf, avgdl, names = ship.value
         known = terms.value
+        best = Best(len(names), k)
         for whole in batches:
             for a in range(0, whole.num_rows if len(names) else 0, 1024):
                 b = whole.slice(a, 1024)
@@ -130,11 +147,8 @@ def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
                     asks = np.zeros((min(QUERY_BLOCK, len(names) - q), len(used)))
                     asks[mine[at >= 0], at[at >= 0]] = 1
                     s = np.round(asks @ parts, 6)
-                    if s.shape[1] > k:
-                        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        i, j = np.nonzero((s >= edge[:, None]) & (s > 0))
-                    else:
-                        i, j = np.nonzero(s > 0)
+                    s[s <= 0] = -np.inf
+                    i, j = best.keep(q, s)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["qid", "id", "score"])
 
     return score
@@ -163,7 +177,7 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
     """``qid, id, score, rank``: exact nearest rows of every query vector, by distance (``l2``) or similarity (``cosine``).
 
     The query set is taken in slices whose size is bounded; each slice is compared with every index row in NumPy
-    blocks, each task keeping its own best ``k``.  Scores are rounded and ties broken by id.  Rows whose
+    blocks of bounded size, each task keeping its own best ``k``.  Scores are rounded and ties broken by id.  Rows whose
     vector is null or of another length than the queries' are not found.
     """
     spark = index.sparkSession
@@ -174,7 +188,6 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
     slices = max(1, -(-n * d * 8 // QUERY_BYTES))
     kind, qkind = index.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter(F.size("v") == d)
-    sign = -1.0 if metric == "cosine" else 1.0
     found = None
     for s in range(slices):
         part = q.filter((F.size("v") == d) & (F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)).toPandas()
@@ -184,25 +197,24 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
 
         def search(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             names, y = ship.value
+            best = Best(len(names), k)
             for b in batches:
                 if not b.num_rows or not names:
                     continue
                 x = pa.compute.cast(b.column(1).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)
                 for a in range(0, len(x), 4096):
                     z = x[a : a + 4096]
-                    if metric == "cosine":
-                        key = -(y @ z.T) / np.maximum(np.sqrt((y * y).sum(1))[:, None] * np.sqrt((z * z).sum(1))[None, :], 1e-300)
-                    else:
-                        key = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * y @ z.T, 0))
-                    key = np.round(key, digits)
-                    if key.shape[1] > k:
-                        edge = np.partition(key, k - 1, axis=1)[:, k - 1]
-                        i, j = np.nonzero(key <= edge[:, None])
-                    else:
-                        i, j = np.nonzero(np.ones_like(key, bool))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[t] for t in i.tolist()], q_type), b.column(0).take(pa.array(a + j)), pa.array(sign * key[i, j])], ["qid", "id", "score"]
-                    )
+                    for q0 in range(0, len(y), QUERY_BLOCK):
+                        v = y[q0 : q0 + QUERY_BLOCK]
+                        if metric == "cosine":
+                            s = (v @ z.T) / np.maximum(np.sqrt((v * v).sum(1))[:, None] * np.sqrt((z * z).sum(1))[None, :], 1e-300)
+                        else:
+                            s = -np.sqrt(np.maximum((v * v).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * v @ z.T, 0))
+                        s = np.round(s, digits)
+                        i, j = best.keep(q0, s)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[q0 + t] for t in i.tolist()], q_type), b.column(0).take(pa.array(a + j)), pa.array(s[i, j] if metric == "cosine" else -s[i, j])], ["qid", "id", "score"]
+                        )
 
         from pyspark.sql.pandas.types import to_arrow_type
 

@@ -161,3 +161,25 @@ def test_index_round_trip_and_registry(spark, tmp_path):
         index.build(docs.limit(0))
     enc = ModelEmbedder(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2).embed(docs, "doc_id", "text").collect()
     assert {r["id"]: r["vector"] for r in enc}[2] == [27.0, 1.0] and {r["id"]: r["vector"] for r in enc}[3] is None
+
+
+def test_vectors_with_no_number_hide_nothing(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(8)] + [(90, [float("nan"), 1.0]), (91, None), (92, [1.0])]
+    index = spark.createDataFrame(rows, "id bigint, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([("q", [2.2, 1.0]), ("bad", [float("nan"), 0.0]), ("none", None)], "qid string, vector array<double>")
+    got = retrieval.vector_search(index, asked, 3).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == "q"] == [2, 3, 1] and {r["qid"] for r in got} == {"q"}
+
+
+def test_running_best_loses_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    s = np.round(rng.normal(size=(7, 300)), 1)
+    best, kept = retrieval.Best(7, 4), []
+    for a in range(0, 300, 50):
+        i, j = best.keep(0, s[:, a : a + 50].copy())
+        kept += list(zip(i.tolist(), (a + j).tolist()))
+    for q in range(7):
+        edge = np.sort(s[q])[-4]
+        assert {j for i, j in kept if i == q} >= set(np.flatnonzero(s[q] >= edge).tolist()) and sum(i == q for i, _ in kept) < 150
