@@ -254,7 +254,7 @@ def test_corpus_folder(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xfa")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] and r["error"].split(":")[0]) for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a.md": ("# One", None), "c.html": ("## Head\nSome bold text\n- item", None), "d.ods": (None, "unsupported"), "e.txt": ("café", None), "bad.txt": (None, "UnicodeDecodeError")}
-    assert corpus.html_text(None) is None and corpus.html_text("") == ""
+    assert corpus.parsers.html_text(None) is None and corpus.parsers.html_text("") == ""
     with pytest.raises(ValueError, match="available"):
         corpus.parser("other")
     paths = spark.createDataFrame([("x/a.PDF",), ("b.ods",), ("c.md",), ("d",)], "path string")
