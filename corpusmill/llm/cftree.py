@@ -232,6 +232,23 @@ def nearest(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM)
     return units.select("id", "u").mapInArrow(assign, f"id {kind}, c int, cos double, other double")
 
 
+def apart(units: DataFrame, centres: np.ndarray, loose: np.ndarray, lower: float, close: float, dim: int = DIM) -> DataFrame:
+    """``id, u, near``: the rows below ``lower`` of every centre; near are those of ``close`` to a centre or ``lower`` to a loose one."""
+    ship = units.sparkSession.sparkContext.broadcast((centres.astype(np.float32), loose.astype(np.float32)))
+    kind = units.schema["id"].dataType.simpleString()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, others = ship.value
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            _, top, _ = two_nearest(x, c)
+            keep = np.flatnonzero(top < lower)
+            near = (top[keep] >= close) | (two_nearest(x[keep], others)[1] >= lower)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(near)], ["id", "u", "near"])
+
+    return units.select("id", "u").mapInArrow(far, f"id {kind}, u array<float>, near boolean")
+
+
 def sums(units: DataFrame, centres: np.ndarray, lower: float, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """Counts and sums of the rows within ``lower`` of their nearest centre, by centre.
 

@@ -27,6 +27,9 @@ SAME_COS = 0.5
 PAIR_COS = 0.36
 #: Fewest vectors of a part of a cluster, as a region may hold it.
 SEED = 3
+#: A round that places less than this share of its rows is followed by a search of the rows near its finds only, at least this close.
+FRUITFUL = 0.01
+NEAR_COS = 0.4
 #: Leaf entries of a tree for each group cut from it, and the Ward increase up to which vectors count as equal.
 LEAVES_A_GROUP = 8
 LEAST_INCREASE = 1e-9
@@ -64,12 +67,15 @@ def _pair_cos(n: np.ndarray, ls: np.ndarray) -> np.ndarray:
     return ((ls * ls).sum(axis=1) - n) / np.maximum(n * (n - 1), 1)
 
 
-def _refined(units: DataFrame, centres: np.ndarray, dim: int) -> np.ndarray:
-    """Mean directions after two passes over the rows, of what remains a cluster."""
+def _refined(units: DataFrame, centres: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean directions after two passes over the rows, of what remains a cluster; those of what is large enough but too loose, as a mixture is."""
+    loose = []
     for _ in range(2):
         n, ls = _united(*cftree.sums(units, centres, MEMBER_COS, dim))
-        centres = cftree.directions(ls[(n >= LEAST) & (_pair_cos(n, ls) >= PAIR_COS)])
-    return centres
+        close = _pair_cos(n, ls) >= PAIR_COS
+        loose.append(cftree.directions(ls[(n >= LEAST) & ~close]))
+        centres = cftree.directions(ls[(n >= LEAST) & close])
+    return centres, np.concatenate(loose)
 
 
 def _seeds(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +114,10 @@ def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: in
 
     Cluster-feature trees summarise each partition, the summaries are tree-reduced, rows whose tree
     had to be condensed are divided into regions until no tree is, as it could mix clusters, the leaves
-    agglomerated by Ward linkage, means recomputed over all rows, and every row assigned.
+    agglomerated by Ward linkage, means recomputed over all rows, and every row assigned.  Rows that fit no cluster
+    are searched again until a round finds nothing: all of them while rounds place many, then those near what the last
+    round found or rejected as a mixture, as only there can a find have hidden another.  Otherwise every round
+    over many single vectors would find a few chance groups more, and the rounds would grow with the rows.
 
     Defined results: unusable vectors, null ids and vectors that fit no cluster have no row;
     repeated rows give one; equal vectors fall into the same cluster; an empty table gives no
@@ -118,16 +127,20 @@ def clusters(df: DataFrame, id_col: str = "id", vec_col: str = "vector", dim: in
     units = written(usable(df, id_col, vec_col, dim), "units")
     centres, rest, left, rounds = np.zeros((0, dim)), units, units.count(), 0
     while left >= LEAST:
-        new = _refined(rest, cftree.directions(_united(*_seeds_by_region(rest, dim))[1]), dim)
+        new, loose = _refined(rest, cftree.directions(_united(*_seeds_by_region(rest, dim))[1]), dim)
         if not len(new):
             break
         centres, rounds, before = np.concatenate([centres, new]), rounds + 1, left
-        rest = written(rest.join(cftree.nearest(rest, new, MEMBER_COS, dim).select("id"), "id", "left_anti"), "rest")
+        rest = written(cftree.apart(rest, new, loose, MEMBER_COS, NEAR_COS, dim), "rest")
         left = rest.count()
         if left == before:
             break
+        if before - left < FRUITFUL * before:
+            rest = rest.filter("near")
+            left = rest.count()
+        rest = rest.select("id", "u")
     if rounds > 1:
-        centres = _refined(units, centres, dim)
+        centres, _ = _refined(units, centres, dim)
     found = cftree.nearest(units, centres, MEMBER_COS, dim).filter(F.col("other") < OTHER_COS).select("id", "c", "cos")
     return written(found, "members")
 

@@ -231,3 +231,19 @@ def test_many_clusters(spark, k):
     first = {c: f"v{int(np.flatnonzero(label == c)[0]):05d}" for c in range(k)}
     found = {(r["id"], r["group_id"]) for r in got}
     assert sum((f"v{i:05d}", first[c]) in found for i, c in enumerate(label)) >= 0.95 * len(label)
+
+
+def test_rounds_do_not_grow_with_single_vectors(spark, tmp_path, monkeypatch):
+    """Among many single vectors every search finds a few chance groups; only what lies near them is searched again."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x, label = made(seed=5, sizes=(60,) * 10 + (12,) * 10, noise=20_000)
+    ids = [f"v{i:05d}" for i in range(len(x))]
+    pq.write_table(pa.table({"id": ids, "vector": pa.array(list(x.astype(np.float32)))}), str(tmp_path / "x.parquet"))
+    searched, search = [], clusters._seeds_by_region
+    monkeypatch.setattr(clusters, "_seeds_by_region", lambda rest, dim: searched.append(rest.count()) or search(rest, dim))
+    got = {r["id"]: r["group_id"] for r in clusters.named(clusters.clusters(spark.read.parquet(str(tmp_path / "x.parquet")))).collect()}
+    assert sum(searched) < 3 * len(x)
+    first = {k: ids[int(np.flatnonzero(label == k)[0])] for k in range(20)}
+    assert sum(got.get(ids[i]) == first[k] for i, k in enumerate(label) if k >= 0) >= 0.9 * (label >= 0).sum()
