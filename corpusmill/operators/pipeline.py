@@ -13,6 +13,7 @@ from corpusmill.functions import answers
 from corpusmill.operators import retrieval, scoring
 from corpusmill.operators.index import Index
 from corpusmill.providers import Embedder, Generator, HashEmbedder
+from corpusmill.runtime import written
 
 log = logging.getLogger(__name__)
 
@@ -47,7 +48,13 @@ def search(index: Index, queries: DataFrame, k: int, index_type: str = "vector_o
 
     Vectors alone rank by distance, smaller is better; the fused ways rank by reciprocal ranks, larger is better.
     No graph store exists, so graph searches find nothing and log it; an unknown type is searched by vectors, and logged.
+    Every text is searched once, by the smallest of its queries; all of its queries get the hits.
     """
+    asked = written(queries.filter("text IS NOT NULL").withColumn("first", F.min("qid").over(Window.partitionBy("text"))), "asked")
+    queries = asked.filter("qid = first").select("qid", "text").distinct()
+
+    def to_all(hits: DataFrame) -> DataFrame:
+        return hits.withColumnRenamed("qid", "first").join(asked.select("qid", "first").distinct(), "first").select("qid", "id", "score", "rank")
 
     def by_vector(n: int) -> DataFrame:
         q = checked_vectors((embedder or HashEmbedder()).embed(queries, "qid", "text"))
@@ -61,14 +68,14 @@ def search(index: Index, queries: DataFrame, k: int, index_type: str = "vector_o
         return retrieval.rrf(index.search_text(queries, k, "qid"), by_vector(k)).filter(F.col("rank") <= k)
 
     if index_type == "hybrid_bm25_vector":
-        return hybrid()
+        return to_all(hybrid())
     if index_type == "graph":
         return by_graph()
     if index_type == "hybrid_graph_vector":
-        return retrieval.rrf(hybrid(), by_graph()).filter(F.col("rank") <= k)
+        return to_all(retrieval.rrf(hybrid(), by_graph()).filter(F.col("rank") <= k))
     if index_type != "vector_only":
         log.warning("unknown index type %r: searched by vectors", index_type)
-    return by_vector(k)
+    return to_all(by_vector(k))
 
 
 def retrieve(index: Index, questions: DataFrame, settings: Settings = Settings(), embedder: Embedder | None = None, id_col: str = "id", text_col: str = "question", generated: str | None = None) -> DataFrame:

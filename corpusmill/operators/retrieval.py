@@ -20,6 +20,10 @@ RRF_K = 60
 QUERY_BYTES = BROADCAST_BYTES
 #: Queries that are scored at once against a block of texts.
 QUERY_BLOCK = 512
+#: Texts of a block that hold a term, from which on it takes part in the matrix product.
+COMMON = 48
+#: Rows a task keeps before it drops those that others have surpassed.
+HELD = 1 << 20
 #: Runs of letters and digits, the terms of the text index.
 TERM = re.compile(r"[^\W_]+")
 
@@ -44,19 +48,59 @@ def top_ranked(scored: DataFrame, k: int, by: list[Column], key: str = "qid") ->
 
 
 class Best:
-    """The ``k`` best scores of each query that a task has seen, larger is better."""
+    """The ``k`` best scores of each query that a task has seen, larger is better, and the rows that reach them; ties are kept."""
 
     def __init__(self, queries: int, k: int) -> None:
         self.k, self.top = k, np.full((queries, k), -np.inf)
-
-    def keep(self, first: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and column of the scores of a block, whose first query is ``first``, that can still be among the best; ties are kept, scores that are no number never."""
-        s[np.isnan(s)] = -np.inf
-        part = s if s.shape[1] <= self.k else np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k :]
-        both = np.concatenate([self.top[first : first + len(s)], part], axis=1)
-        now = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
-        self.top[first : first + len(s)] = now
-        return np.nonzero((s >= now.min(axis=1)[:, None]) & (s > -np.inf))
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.size, self.limit = 0, HELD
+
+    def least(self, first: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score each row of ``s``, whose first query is ``first``, must reach, and the ``k``-th best of those rows of ``s`` that have seen fewer than ``k``."""
+        low = self.top[first : first + len(s)].min(axis=1)
+        new = np.flatnonzero(low == -np.inf)
+        own = np.full(len(s), -np.inf)
+        if len(new) and s.shape[1] >= self.k:
+            some = s[new]
+            some[np.isnan(some)] = -np.inf
+            own[new] = np.partition(some, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        return low, own
+
+    def add(self, q: np.ndarray, score: np.ndarray, ids: pa.Array, at: np.ndarray) -> None:
+        """Take in scores of queries ``q`` and rows ``at`` of ``ids``; scores that are no number are never kept."""
+        good = (score >= self.top[q].min(axis=1)) & (score > -np.inf)
+        q, score, at = q[good], score[good], at[good]
+        if not len(q):
+            return
+        order = np.lexsort((-score, q))
+        q, score, at = q[order], score[order], at[order]
+        rows, line = np.unique(q, return_inverse=True)
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        first = place < self.k
+        new = np.full((len(rows), self.k), -np.inf)
+        new[line[first], place[first]] = score[first]
+        self.top[rows] = np.partition(np.concatenate([self.top[rows], new], axis=1), self.k, axis=1)[:, self.k :]
+        keep = score >= self.top[q].min(axis=1)
+        self.held.append((q[keep], score[keep], ids.take(pa.array(at[keep]))))
+        self.size += int(keep.sum())
+        if self.size > self.limit:
+            self._drop()
+
+    def _drop(self) -> None:
+        q, score = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
+        keep = np.flatnonzero(score >= self.top[q].min(axis=1))
+        self.held = [(q[keep], score[keep], pa.concat_arrays([x[2] for x in self.held]).take(pa.array(keep)))]
+        self.size = len(keep)
+        self.limit = max(HELD, 2 * self.size)
+
+    def found(self, names: pa.Array, sign: int = 1) -> Iterator[pa.RecordBatch]:
+        """``qid, id, score`` of all that was kept."""
+        if self.held:
+            self._drop()
+            q, score, ids = self.held[0]
+            for a in range(0, len(q), 65536):
+                z = slice(a, a + 65536)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[z])), ids.slice(a, 65536), pa.array(sign * score[z])], ["qid", "id", "score"])
 
 
 def _impacts(tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float) -> np.ndarray:
@@ -134,22 +178,49 @@ def _bm25_scorer(docs: DataFrame, queries: pa.Table, k: int):
             for a in range(0, whole.num_rows if len(names) else 0, 1024):
                 b = whole.slice(a, 1024)
                 row, col, tf, dl = counted(b.column(1).to_pylist(), known)
-                # only the terms of these texts take part
+                # only the terms of these texts take part: common ones by a product of matrices, the texts of others one by one
                 used, col = np.unique(col, return_inverse=True)
                 place = np.full(len(idf), -1)
                 place[used] = np.arange(len(used))
-                parts = np.zeros((len(used), b.num_rows))
+                parts = np.zeros((len(used) + 1, b.num_rows))
                 parts[col, row] = _impacts(tf, dl[row], idf[used[col]], avgdl)
+                held = np.bincount(col, minlength=len(used))
+                common = np.flatnonzero(held >= COMMON)
+                column = np.full(len(used), -1)
+                column[common] = np.arange(len(common))
+                dense = parts[common].astype(np.float32)
+                by = np.argsort(col, kind="stable")
+                where, begin = row[by], np.cumsum(held) - held
                 for q in range(0, len(names), QUERY_BLOCK):
-                    lo, hi = start[q], start[min(q + QUERY_BLOCK, len(names))]
-                    at = place[term[lo:hi]]
-                    mine = np.repeat(np.arange(len(start[q : q + QUERY_BLOCK + 1]) - 1), np.diff(start[q : q + QUERY_BLOCK + 1]))
-                    asks = np.zeros((min(QUERY_BLOCK, len(names) - q), len(used)))
-                    asks[mine[at >= 0], at[at >= 0]] = 1
-                    s = np.round(asks @ parts, 6)
-                    s[s <= 0] = -np.inf
-                    i, j = best.keep(q, s)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["qid", "id", "score"])
+                    bounds = start[q : q + QUERY_BLOCK + 1]
+                    at = place[term[bounds[0] : bounds[-1]]]
+                    mine = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at >= 0]
+                    at = at[at >= 0]
+                    many = column[at] >= 0
+                    asks = np.zeros((len(bounds) - 1, len(common)), np.float32)
+                    asks[mine[many], column[at[many]]] = 1
+                    s = asks @ dense
+                    few = at[~many]
+                    n = held[few]
+                    post = np.repeat(begin[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    np.add.at(s.reshape(-1), np.repeat(mine[~many] * b.num_rows, n) + where[post], parts[np.repeat(few, n), where[post]].astype(np.float32))
+                    # single precision only tells which scores need not be computed
+                    low, own = best.least(q, s)
+                    low = np.maximum(low, own)
+                    i, j = np.divmod(np.flatnonzero(s >= np.maximum(low - 1e-4 - 1e-5 * np.abs(low), 4e-7).astype(np.float32)[:, None]), b.num_rows)
+                    if not len(i):
+                        continue
+                    first, n = np.searchsorted(mine, i), np.bincount(mine, minlength=len(bounds) - 1)[i]
+                    exact = np.zeros(len(i))
+                    for c in range(0, len(i), 65536):
+                        z = slice(c, c + 65536)
+                        head = np.cumsum(n[z]) - n[z]
+                        cell = np.repeat(first[z] - head, n[z]) + np.arange(n[z].sum())
+                        exact[z] = np.add.reduceat(parts[at[cell], np.repeat(j[z], n[z])], head)
+                    exact = np.round(exact, 6)
+                    exact[exact <= 0] = -np.inf
+                    best.add(q + i, exact, b.column(0), j)
+        yield from best.found(names)
 
     return score
 
@@ -197,24 +268,34 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
 
         def search(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             names, y = ship.value
-            best = Best(len(names), k)
+            best, cosine = Best(len(names), k), metric == "cosine"
+            norm = np.sqrt((y * y).sum(1))
             for b in batches:
                 if not b.num_rows or not names:
                     continue
                 x = pa.compute.cast(b.column(1).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)
-                for a in range(0, len(x), 4096):
-                    z = x[a : a + 4096]
+                for a in range(0, len(x), 1024):
+                    z = x[a : a + 1024]
+                    size = np.sqrt((z * z).sum(1))
+                    # g grows with the score; in single precision, where that can hold it, g only tells which scores need not be computed
+                    kind = np.float32 if max(norm.max(), size.max()) < 1e15 else np.float64
+                    right = (z / np.maximum(size, 1e-300)[:, None] if cosine else np.column_stack([z, size * size])).astype(kind)
                     for q0 in range(0, len(y), QUERY_BLOCK):
-                        v = y[q0 : q0 + QUERY_BLOCK]
-                        if metric == "cosine":
-                            s = (v @ z.T) / np.maximum(np.sqrt((v * v).sum(1))[:, None] * np.sqrt((z * z).sum(1))[None, :], 1e-300)
-                        else:
-                            s = -np.sqrt(np.maximum((v * v).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * v @ z.T, 0))
-                        s = np.round(s, digits)
-                        i, j = best.keep(q0, s)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([names[q0 + t] for t in i.tolist()], q_type), b.column(0).take(pa.array(a + j)), pa.array(s[i, j] if metric == "cosine" else -s[i, j])], ["qid", "id", "score"]
-                        )
+                        v, r = y[q0 : q0 + QUERY_BLOCK], norm[q0 : q0 + QUERY_BLOCK]
+                        left = v / np.maximum(r, 1e-300)[:, None] if cosine else np.column_stack([v, np.full(len(v), -0.5)])
+                        g = left.astype(kind) @ right.T
+                        low, own = best.least(q0, g)
+                        slack = np.full(len(v), 1e-5) if cosine else 1e-5 * (r * r + np.nanmax(size, initial=0.0) ** 2)
+                        seen = low - 2 * 10.0**-digits if cosine else (r * r - (2 * 10.0**-digits - low) ** 2) / 2
+                        i, j = np.divmod(np.flatnonzero(g >= (np.where(low > -np.inf, seen, own) - 2 * slack).astype(kind)[:, None]), len(z))
+                        for c in range(0, len(i), 65536):
+                            at, to = i[c : c + 65536], j[c : c + 65536]
+                            if cosine:
+                                s = (v[at] * z[to]).sum(1) / np.maximum(r[at] * size[to], 1e-300)
+                            else:
+                                s = -np.sqrt(((v[at] - z[to]) ** 2).sum(1))
+                            best.add(q0 + at, np.round(s, digits), b.column(0), a + to)
+            yield from best.found(pa.array(names, q_type), 1 if metric == "cosine" else -1)
 
         from pyspark.sql.pandas.types import to_arrow_type
 

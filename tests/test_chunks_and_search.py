@@ -99,6 +99,29 @@ def test_vector_search(spark, metric, monkeypatch):
     assert retrieval.vector_search(v.limit(0), q, 4, metric).count() == 0
 
 
+def test_best_keeps_ties_and_drops_the_surpassed():
+    import pyarrow as pa
+
+    best = retrieval.Best(2, 2)
+    ids = pa.array(list("abcdef"))
+    best.add(np.array([0, 0, 1]), np.array([1.0, 2.0, np.nan]), ids, np.array([0, 1, 2]))
+    best.add(np.array([0, 0, 0, 1]), np.array([2.0, 3.0, 0.5, 1.0]), ids, np.array([3, 4, 5, 0]))
+    got = [r for b in best.found(pa.array(["x", "y"])) for r in b.to_pylist()]
+    assert sorted((r["qid"], r["id"], r["score"]) for r in got) == [("x", "b", 2.0), ("x", "d", 2.0), ("x", "e", 3.0), ("y", "a", 1.0)]
+
+
+def test_common_and_rare_terms_of_large_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    weight = 1 / np.arange(1, 301)
+    text = lambda n: " ".join(rng.choice(words, n, p=weight / weight.sum()))
+    docs = spark.createDataFrame([(i, text(20)) for i in range(1500)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, text(8)) for i in range(30)], "item_id bigint, text string")
+    index = retrieval.postings(docs)
+    rows = lambda x: sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in x.collect())
+    assert rows(retrieval.bm25(docs, items, 5)) == rows(retrieval.bm25(docs, items, 5, index=index))
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "qid int, id string, rank int, score double, variant int")
 

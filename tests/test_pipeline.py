@@ -48,6 +48,17 @@ def test_retrieve_expands_over_fetches_and_reranks(index, asked, monkeypatch):
     assert pipeline.retrieve(index, asked.limit(0), s, generated="more").count() == 0
 
 
+def test_equal_texts_are_searched_once(spark, index, monkeypatch):
+    seen, bm25 = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda docs, queries, *a: seen.append(queries.count()) or bm25(docs, queries, *a))
+    asked = spark.createDataFrame([(f"q{i}", TEXTS[i % 2]) for i in range(8)], "id string, question string")
+    by = {}
+    for r in pipeline.retrieve(index, asked, pipeline.Settings("hybrid_graph_vector", 2)).collect():
+        by.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
+    assert seen == [2] and sorted(by) == [f"q{i}" for i in range(8)]
+    assert all(sorted(by[f"q{i}"]) == sorted(by[f"q{i % 2}"]) and min(by[f"q{i}"])[1] == f"c{i % 2}" for i in range(8))
+
+
 def test_vectors_are_checked(spark):
     with pytest.raises(ValueError):
         pipeline.checked_vectors(spark.createDataFrame([("a", [[1.0]])], "id string, vector array<array<double>>"))
