@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import answers
 from corpusmill.functions.text import self_contained
-from corpusmill.functions.vectors import hash_embed
+from corpusmill.functions.vectors import hash_embed, hash_embed_rows
 from corpusmill.operators import chunking, exam, generation, items, loop, pipeline, retrieval
 from corpusmill.operators import index as store
 from corpusmill.plans.catalog import query
@@ -33,7 +33,7 @@ def _index(spark: SparkSession, sf_dir: str) -> store.Index:
     rows = table(spark, sf_dir, "chunk").filter("chunk_id IS NOT NULL AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
     chunks = written(rows.withColumn("doc_id", F.lit(None).cast("long")).withColumn("pos", F.lit(0)), "chunks")
     terms, stats = retrieval.postings(chunks, "chunk_id", "text")
-    return store.Index(chunks, written(HashEmbedder().embed(chunks, "chunk_id", "text"), "vectors"), terms, stats)
+    return store.Index(chunks, written(hash_embed_rows(chunks, "chunk_id", "text"), "vectors"), terms, stats)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,14 @@ def test_equal_texts_are_searched_once(spark, index, monkeypatch):
     assert all(sorted(by[f"q{i}"]) == sorted(by[f"q{i % 2}"]) and min(by[f"q{i}"])[1] == f"c{i % 2}" for i in range(8))
 
 
+def test_rows_embedded_in_place_equal_the_expressions(spark):
+    from corpusmill.functions.vectors import hash_embed, hash_embed_rows
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "Ärger über_die ²3 x-Y", "", None, "- _"])], "id bigint, text string")
+    assert sorted(map(tuple, hash_embed_rows(docs, "id", "text").collect())) == sorted(map(tuple, hash_embed(docs, "id", "text").collect()))
+    assert "Exchange" not in hash_embed_rows(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_are_checked(spark):
     with pytest.raises(ValueError):
         pipeline.checked_vectors(spark.createDataFrame([("a", [[1.0]])], "id string, vector array<array<double>>"))
